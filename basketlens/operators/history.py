@@ -93,8 +93,11 @@ def history_snapshots(
     spark = daily.sparkSession
     if on_gap not in ON_GAP:
         raise ValueError(f"on_gap must be one of {ON_GAP}")
-    calendar = spark.createDataFrame(
-        _runs(days, on_gap), f"{PARTITION} string, _pos int, _run int, _last int"
+    # One row per run day, from the caller's list: small by definition.
+    calendar = F.broadcast(
+        spark.createDataFrame(
+            _runs(days, on_gap), f"{PARTITION} string, _pos int, _run int, _last int"
+        )
     )
     in_run = Window.partitionBy("_run", *keys).orderBy("_pos")
     so_far = in_run.rowsBetween(Window.unboundedPreceding, Window.currentRow)

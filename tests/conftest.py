@@ -1,0 +1,25 @@
+from __future__ import annotations
+
+import pytest
+
+from tests.compare import local_session
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = local_session(cores=8)
+    session.conf.set("spark.sql.shuffle.partitions", "4")
+    yield session
+    session.stop()
+
+
+@pytest.fixture()
+def database(spark):
+    """A database of its own for tables a test makes."""
+    from uuid import uuid4
+
+    from basketlens.adapters import shared_folder
+
+    name = f"test_{uuid4().hex[:12]}"
+    spark.sql(f"CREATE DATABASE {name} LOCATION '{shared_folder(spark)}'")
+    return name
