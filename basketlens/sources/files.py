@@ -55,11 +55,11 @@ def read_daily_files(
 
 
 def _typed(rows: DataFrame, columns: Columns) -> DataFrame:
-    return rows.select(*[F.col(n).cast(t).alias(n) for n, t in columns], PARTITION)
+    return rows.select(*[F.col(n).try_cast(t).alias(n) for n, t in columns], PARTITION)
 
 
 def to_behavior(rows: DataFrame) -> DataFrame:
-    """File types to warehouse types (ids become strings, the time a number)."""
+    """File types to warehouse types: ids become strings, the time a number or null."""
     return _typed(rows, BEHAVIOR)
 
 
