@@ -24,7 +24,11 @@ def backfill(
     salts: int = 0,
     on_gap: str = "reset",
 ) -> None:
-    """Run ``days``, which start the history, over their loaded facts."""
+    """Run ``days``, which start the history, over their loaded facts.
+
+    For tables that do not hold these days yet: a day without rows in a table has no
+    partition there, so nothing would replace one left by an earlier run (``run_day`` does).
+    """
     days = sorted({check_dt(d) for d in days})
 
     def of_days(name: str):

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from basketlens.functions.dates import check_dt
 from basketlens.functions.sentiment import CHINESE, Lexicon
-from basketlens.operators.history import advance_history, previous_snapshot
+from basketlens.operators.history import advance_history, empty_history, previous_snapshot
 from basketlens.operators.joins import wide_behavior, wide_comment
 from basketlens.operators.metrics import (
     FACE_COUNTERS,
@@ -22,6 +22,7 @@ from basketlens.operators.metrics import (
 )
 from basketlens.operators.rank import face_favorite, goods_pop, goods_pv_to_buy, goods_score
 from basketlens.plans.warehouse import Warehouse
+from basketlens.schemas import TABLES
 
 # Daily table, history table, keys, counters.
 HISTORIES = (
@@ -56,9 +57,13 @@ def build_metrics(wh: Warehouse, dt: str, lexicon: Lexicon = CHINESE, salts: int
 
 def build_history(wh: Warehouse, dt: str, on_gap: str = "reset") -> None:
     """Snapshots of the day from those of the day before."""
-    for day, full, keys, counters in HISTORIES:
-        before = previous_snapshot(wh.read(full), dt, on_gap)
-        wh.write_days(full, advance_history(before, wh.read(day, dt), keys, counters, dt))
+    for daily, full, keys, counters in HISTORIES:
+        before, today = previous_snapshot(wh.read(full), dt, on_gap), wh.read(daily, dt)
+        if before.isEmpty() and today.isEmpty():
+            # Rows of an earlier run of the day must go; without rows no partition is touched.
+            wh.write_day(full, empty_history(wh.spark, TABLES[full]), dt)
+        else:
+            wh.write_days(full, advance_history(before, today, keys, counters, dt))
 
 
 def build_results(wh: Warehouse, dt: str) -> None:
