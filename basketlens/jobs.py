@@ -52,13 +52,18 @@ def parser() -> argparse.ArgumentParser:
     args.add_argument("--face-file", help="also load this dimension file")
     args.add_argument("--category-file", help="also load this dimension file")
     args.add_argument("--salts", type=int, default=0, help="parts of a two-phase aggregation")
+    args.add_argument("--shuffle-partitions", type=int, help="for this run; see README")
     args.add_argument("--on-gap", choices=("reset", "error", "latest"), default="reset")
     return args
 
 
 def main(argv: Sequence[str] | None = None) -> None:
     args = parser().parse_args(argv)
+    if "load" in args.steps and not (args.behavior_files and args.comment_files):
+        parser().error("load needs --behavior-files and --comment-files")
     spark = SparkSession.builder.appName(f"basketlens {args.dt}").getOrCreate()
+    if args.shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", args.shuffle_partitions)
     wh = Warehouse(spark, args.root, args.prefix).create()
     load_dimensions(wh, args.face_file, args.category_file)
     if "load" in args.steps:

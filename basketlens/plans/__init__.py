@@ -1,15 +1,27 @@
 """Compositions: the warehouse tables, the daily run, the backfill of many days."""
 
-from basketlens.plans.backfill import backfill
+from basketlens.plans.backfill import (
+    backfill,
+    backfill_detail,
+    backfill_history,
+    backfill_metrics,
+    backfill_results,
+    start_history,
+)
 from basketlens.plans.daily import build_detail, build_history, build_metrics, build_results, run_day
 from basketlens.plans.warehouse import Warehouse
 
 __all__ = [
     "Warehouse",
     "backfill",
+    "backfill_detail",
+    "backfill_history",
+    "backfill_metrics",
+    "backfill_results",
     "build_detail",
     "build_history",
     "build_metrics",
     "build_results",
     "run_day",
+    "start_history",
 ]

@@ -1,14 +1,19 @@
-"""Many run days in one job per table, with the same result as running them one by one."""
+"""Many run days in one job per table, with the same result as running them one by one.
+
+For tables that do not hold these days yet: a day without rows in a table has no partition
+there, so nothing would replace one left by an earlier run (``run_day`` does).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.functions.dates import check_dt
 from basketlens.functions.sentiment import CHINESE, Lexicon
-from basketlens.operators.history import history_snapshots
+from basketlens.operators.history import cumulative_history, history_snapshots
 from basketlens.operators.joins import wide_behavior, wide_comment
 from basketlens.operators.metrics import face_metrics, goods_from_face, reputation_metrics
 from basketlens.operators.rank import face_favorite, goods_pop, goods_pv_to_buy, goods_score
@@ -17,40 +22,67 @@ from basketlens.plans.warehouse import Warehouse
 from basketlens.schemas import PARTITION
 
 
-def backfill(
-    wh: Warehouse,
-    days: Sequence[str],
-    lexicon: Lexicon = CHINESE,
-    salts: int = 0,
-    on_gap: str = "reset",
-) -> None:
-    """Run ``days``, which start the history, over their loaded facts.
-
-    For tables that do not hold these days yet: a day without rows in a table has no
-    partition there, so nothing would replace one left by an earlier run (``run_day`` does).
-    """
-    days = sorted({check_dt(d) for d in days})
+def _of_days(wh: Warehouse, name: str, days: Sequence[str]) -> DataFrame:
+    return wh.read(name).where(F.col(PARTITION).isin([check_dt(d) for d in days]))
 
-    def of_days(name: str):
-        return wh.read(name).where(F.col(PARTITION).isin(days))
 
+def backfill_detail(wh: Warehouse, days: Sequence[str]) -> None:
+    """Clean wide facts of all ``days``."""
     face = wh.read("ods_user_face_full")
     category = wh.read("ods_category_mapping_full")
-    behavior = wide_behavior(of_days("user_behavior_inc"), face, category)
+    behavior = wide_behavior(_of_days(wh, "user_behavior_inc", days), face, category)
     wh.write_days("dwd_user_behavior", behavior, rebalance=True)
-    comment = wide_comment(of_days("user_comment_inc"), face, category)
+    comment = wide_comment(_of_days(wh, "user_comment_inc", days), face, category)
     wh.write_days("dwd_user_comment", comment, rebalance=True)
 
-    wh.write_days("dws_face_day", face_metrics(of_days("dwd_user_behavior"), salts), True)
-    wh.write_days("dws_goods_day", goods_from_face(of_days("dws_face_day")), True)
-    reputation = reputation_metrics(of_days("dwd_user_comment"), lexicon, salts)
-    wh.write_days("dws_goods_reputation_day", reputation, True)
 
-    for day, full, keys, counters in HISTORIES:
-        snapshots = history_snapshots(of_days(day), keys, counters, days, on_gap)
-        wh.write_days(full, snapshots, True)
+def backfill_metrics(
+    wh: Warehouse, days: Sequence[str], lexicon: Lexicon = CHINESE, salts: int = 0
+) -> None:
+    """Daily aggregates of all ``days``."""
+    faces = face_metrics(_of_days(wh, "dwd_user_behavior", days), salts)
+    wh.write_days("dws_face_day", faces, rebalance=True)
+    goods = goods_from_face(_of_days(wh, "dws_face_day", days))
+    wh.write_days("dws_goods_day", goods, rebalance=True)
+    reputation = reputation_metrics(_of_days(wh, "dwd_user_comment", days), lexicon, salts)
+    wh.write_days("dws_goods_reputation_day", reputation, rebalance=True)
+
+
+def backfill_history(wh: Warehouse, days: Sequence[str], on_gap: str = "reset") -> None:
+    """Snapshots of all ``days``, which start the history."""
+    for daily, full, keys, counters in HISTORIES:
+        rows = _of_days(wh, daily, days)
+        snapshots = history_snapshots(rows, keys, counters, days, on_gap)
+        wh.write_days(full, snapshots, rebalance=True)
 
-    wh.write_days("ads_goods_pop", goods_pop(of_days("dws_goods_day")), True)
-    wh.write_days("ads_face_favorite", face_favorite(of_days("dws_face_full")), True)
-    wh.write_days("ads_goods_pv_to_buy", goods_pv_to_buy(of_days("dws_goods_full")), True)
-    wh.write_days("ads_goods_score", goods_score(of_days("dws_goods_reputation_full")), True)
+
+def start_history(wh: Warehouse, dt: str) -> None:
+    """The one snapshot of ``dt``, from the stored aggregates of all days up to it."""
+    for daily, full, keys, counters in HISTORIES:
+        wh.write_day(full, cumulative_history(wh.read(daily), keys, counters, dt), dt)
+
+
+def backfill_results(wh: Warehouse, days: Sequence[str]) -> None:
+    """Result tables of all ``days``."""
+    results = {
+        "ads_goods_pop": goods_pop(_of_days(wh, "dws_goods_day", days)),
+        "ads_face_favorite": face_favorite(_of_days(wh, "dws_face_full", days)),
+        "ads_goods_pv_to_buy": goods_pv_to_buy(_of_days(wh, "dws_goods_full", days)),
+        "ads_goods_score": goods_score(_of_days(wh, "dws_goods_reputation_full", days)),
+    }
+    for name, rows in results.items():
+        wh.write_days(name, rows, rebalance=True)
+
+
+def backfill(
+    wh: Warehouse,
+    days: Sequence[str],
+    lexicon: Lexicon = CHINESE,
+    salts: int = 0,
+    on_gap: str = "reset",
+) -> None:
+    """All steps of ``days``, which start the history, over their loaded facts."""
+    backfill_detail(wh, days)
+    backfill_metrics(wh, days, lexicon, salts)
+    backfill_history(wh, days, on_gap)
+    backfill_results(wh, days)

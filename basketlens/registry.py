@@ -31,7 +31,14 @@ from basketlens.operators.metrics import (
     GOODS_KEYS,
     REPUTATION_COUNTERS,
 )
-from basketlens.plans import Warehouse, backfill, run_day
+from basketlens.plans import (
+    Warehouse,
+    backfill,
+    backfill_detail,
+    backfill_metrics,
+    run_day,
+    start_history,
+)
 from basketlens.plans.warehouse import DECLARED_BUCKETS
 from basketlens.schemas import (
     BEHAVIOR,
@@ -540,8 +547,8 @@ def sentiment_label_unsegmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Daily run --------------------------------------------------------------------------------
 
 
-def _run(spark: SparkSession, sf_dir: str, times: int = 1, **create) -> tuple[Warehouse, str]:
-    """Load everything, backfill all days but the last, then run the last day."""
+def _loaded(spark: SparkSession, sf_dir: str, **create) -> tuple[Warehouse, list[str]]:
+    """A warehouse with dimensions and the facts of all days, the last day's from staging."""
     wh = _warehouse(spark, **create)
     days = _days(spark, sf_dir)
     last = days[-1]
@@ -554,7 +561,15 @@ def _run(spark: SparkSession, sf_dir: str, times: int = 1, **create) -> tuple[Wa
     wh.write_days("user_comment_inc", comment, rebalance=True)
     wh.write_text("user_behavior_tmp", _behavior(spark, sf_dir, last, last))
     wh.load_staged_day("user_behavior_inc", "user_behavior_tmp", last)
-    backfill(wh, days[:-1], WORDS)
+    return wh, days
+
+
+def _run(spark: SparkSession, sf_dir: str, times: int) -> tuple[Warehouse, str]:
+    """Run the last day ``times`` times on the history of all days before it."""
+    wh, (*earlier, last) = _loaded(spark, sf_dir)
+    backfill_detail(wh, earlier)
+    backfill_metrics(wh, earlier, WORDS)
+    start_history(wh, earlier[-1])
     for _ in range(times):
         run_day(wh, last, WORDS)
     return wh, last
@@ -587,18 +602,20 @@ def _results(wh: Warehouse, last: str) -> DataFrame:
 
 @query
 def daily_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(*_run(spark, sf_dir))
+    return _results(*_run(spark, sf_dir, 1))
 
 
 @query
 def daily_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(*_run(spark, sf_dir, times=2))
+    return _results(*_run(spark, sf_dir, 2))
 
 
 @query
 def layer_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows in each table of the four layers after a run, on the modelled buckets."""
-    wh, last = _run(spark, sf_dir, buckets=DECLARED_BUCKETS)
+    """Rows in each table of the four layers after a backfill, on the modelled buckets."""
+    wh, days = _loaded(spark, sf_dir, buckets=DECLARED_BUCKETS)
+    last = days[-1]
+    backfill(wh, days, WORDS)
     wh.write_text("user_comment_tmp", _comment(spark, sf_dir).where(F.col(PARTITION) == last))
     whole = None
     for name, spec in TABLES.items():

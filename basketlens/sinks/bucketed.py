@@ -53,18 +53,15 @@ def write_bucketed_facts(
     """Write ``facts`` bucketed on ``key``, the rows of its frequent keys apart.
 
     A bucket is read by one task, so a key with more than ``hot_share`` of the rows must
-    not be in one. There are fewer than ``1 / hot_share`` such keys: their list is small
-    by definition.
+    not be in one, nor rows without key. There are fewer than ``1 / hot_share`` such keys,
+    so their list may come to the driver.
     """
-    hot_keys = F.broadcast(frequent_keys(facts, key, hot_share))
+    rows = frequent_keys(facts, key, hot_share).where(F.col(key).isNotNull()).collect()
+    is_hot = F.col(key).isNull() | F.col(key).isin([row[0] for row in rows])
     write_bucketed(
-        facts.join(hot_keys, on=key, how="left_anti"),
-        tables.bucketed,
-        [key],
-        buckets,
-        paths and paths.bucketed,
+        facts.where(~is_hot), tables.bucketed, [key], buckets, paths and paths.bucketed
     )
-    hot = facts.join(hot_keys, on=key, how="left_semi").write.mode("overwrite").format("orc")
+    hot = facts.where(is_hot).write.mode("overwrite").format("orc")
     if paths is not None:
         hot = hot.option("path", paths.hot)
     hot.option("compression", "snappy").saveAsTable(tables.hot)

@@ -2,8 +2,8 @@
 
 Times are the better of two runs, after a warm-up, of the whole query into a sink that keeps
 nothing. ``stages`` are the steps of a run over all given days in a warehouse of tables.
-``udf_*`` are row-at-a-time Python functions for the same two results, for comparison only;
-they are in neither the library nor the total.
+``udf_sentiment`` is a row-at-a-time Python function for the result of ``sentiment_label``, for
+comparison only; it is in neither the library nor the total.
 """
 
 from __future__ import annotations
@@ -100,19 +100,6 @@ def stages(spark: SparkSession) -> dict[str, float]:
     }
 
 
-def udf_wilson(spark: SparkSession) -> DataFrame:
-    @F.udf("double")
-    def bound(pos: int, total: int) -> float:
-        if not total:
-            return 0.0
-        p, z = pos / total, 1.96
-        root = math.sqrt(max(0.0, p * (1 - p) / total + z * z / (4 * total * total)))
-        return round((p + z * z / (2 * total) - z * root) / (1 + z * z / total), 4)
-
-    counters = QUERIES["score_weighted"](spark, SF_DIR)
-    return counters.select("dt", "category_id", bound("buy", "pv").alias("bound"))
-
-
 def udf_sentiment(spark: SparkSession) -> DataFrame:
     positive, negative = WORDS.positive, WORDS.negative
 
@@ -129,7 +116,6 @@ def main() -> None:
     run(QUERIES["ads_goods_pop"](spark, SF_DIR))
     queries = {n: seconds(lambda n=n: run(QUERIES[n](spark, SF_DIR))) for n in HEADLINE}
     compared = {
-        "udf_wilson": seconds(lambda: run(udf_wilson(spark))),
         "udf_sentiment": seconds(lambda: run(udf_sentiment(spark))),
     }
     print(

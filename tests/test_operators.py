@@ -321,3 +321,35 @@ def test_hot_keys_and_hot_user_join_under_shuffle(spark):
         assert joined.count() == 300 * 2 + 600
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hot_user_is_split_by_adaptive_execution(spark):
+    rows = spark.range(60000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 5000).cast("string")).alias("user_id"),
+        F.col("id").cast("string").alias("device"),
+    )
+    facts = rows.repartition(16, "device")
+    face = spark.range(5000).select(
+        F.when(F.col("id") == 0, "hot").otherwise(F.col("id").cast("string")).alias("user_id"),
+        F.lit("f").alias("face"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        joined = op.join_face(facts, face)
+        matched = joined.groupBy("face").count()
+        result = op.join_face(facts, face)
+        assert len(result.collect()) == 60000
+        assert "skew=true" in plan_of(result)
+        assert sum(r["count"] for r in matched.collect()) == 60000
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
