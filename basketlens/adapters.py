@@ -60,7 +60,7 @@ def behavior_facts(events: DataFrame) -> DataFrame:
     return events.selectExpr(
         "CASE WHEN event_id % 97 <> 0 THEN CAST(user_id AS STRING) END AS user_id",
         "CAST(event_id % 1000 AS STRING) AS goods_id",
-        f"nullif(regexp_extract(props, '{CATEGORY_IN_PROPS}', 1), '') AS category_id",
+        f"get(regexp_extract_all(props, '{CATEGORY_IN_PROPS}', 1), 0) AS category_id",
         "CASE event_type WHEN 'view' THEN 'pv' WHEN 'click' THEN 'cart'"
         " WHEN 'purchase' THEN 'buy' WHEN 'signup' THEN 'fav' END AS behavior",
         # Not unix_timestamp, which would bring in the session's time zone.
