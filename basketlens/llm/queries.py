@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import bpe, simhash, tokencount
+from basketlens.llm import bpe, simhash, tokencount, toxicity
 from basketlens.llm.tables import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,3 +47,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = given(spark, sf_dir, "documents")
+    labels = toxicity.learning(given(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.expr("crc32(CAST(doc_id AS STRING)) % 3 = 1"), F.lit(False))
+    return toxicity.toxicity(documents, documents, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
