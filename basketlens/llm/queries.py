@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import bpe, simhash, tokencount, toxicity
+from basketlens.llm import bpe, decontaminate, simhash, tokencount, toxicity
 from basketlens.llm.tables import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,3 +55,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = toxicity.learning(given(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.expr("crc32(CAST(doc_id AS STRING)) % 3 = 1"), F.lit(False))
     return toxicity.toxicity(documents, documents, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(given(spark, sf_dir, "documents"), given(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
