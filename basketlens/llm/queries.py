@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import bpe, decontaminate, simhash, tokencount, toxicity
+from basketlens.llm import bpe, decontaminate, linededup, simhash, tokencount, toxicity
 from basketlens.llm.tables import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(given(spark, sf_dir, "documents").select("doc_id", "text"))
