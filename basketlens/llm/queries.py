@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import bpe, decontaminate, linededup, simhash, tokencount, toxicity
+from basketlens.llm import bpe, decontaminate, linededup, simhash, tokencount, topk, toxicity
 from basketlens.llm.tables import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,7 +54,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = given(spark, sf_dir, "documents")
     labels = toxicity.learning(given(spark, sf_dir, "labels"))
     held_out = F.coalesce(F.expr("crc32(CAST(doc_id AS STRING)) % 3 = 1"), F.lit(False))
-    return toxicity.toxicity(documents, documents, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    scored = toxicity.toxicity(documents.select("doc_id", "text"), documents, labels)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
 @query("op3_decontamination")
@@ -73,3 +74,25 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_line_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(given(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op8_top_k")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search_table(given(spark, sf_dir, "embeddings"))
+
+
+ORACLE["op8_top_k"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+        CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), ranked AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""

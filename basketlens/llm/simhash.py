@@ -303,3 +303,13 @@ def near_duplicates(
     return prints.join(of_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``documents`` that stand first in their group, by doc_id (nulls last), then by row."""
+    at = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"))
+    # Written, because the numbers must be the same in both uses.
+    numbered = stored(documents.withColumn("_at", at))
+    groups = near_duplicates(numbered, "_at", text)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id.row").alias("_first"))
+    return numbered.join(first, numbered["_at"]["row"] == first["_first"], "left_semi").drop("_at")

@@ -154,25 +154,25 @@ def sample(documents: DataFrame, labels: DataFrame, label: str, most: int) -> tu
 def toxicity(
     documents: DataFrame, texts: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE
 ) -> DataFrame:
-    """doc_id, score, predicted of every row of ``documents``; learnt from ``texts`` with ``labels``.
+    """``documents`` with score and predicted; learnt from ``texts`` with ``labels``.
 
     Only the text is an input of a score. Each row is scored by itself, so repeated rows and null ids stay. A
     null text counts as empty; a text without words has the score of the bias. Labels other than 0
-    and 1 are left out. Without labels of both classes every score is the bias. Other columns are not read.
+    and 1 are left out. Without labels of both classes every score is the same. Other columns are kept, but for
+    those named score or predicted, which are replaced.
     """
     value, bias = train(*sample(texts, labels, label, most))
     model = documents.sparkSession.sparkContext.broadcast((value, bias))
-    frame = documents.select("doc_id", "text")
-    kind = frame.schema["doc_id"].dataType.simpleString()
+    frame = documents.drop("score", "predicted")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*model.value)
         for batch in batches:
-            for part in pieces(batch["text"], PIECE):
-                ids = batch["doc_id"].slice(part.first, len(part))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(scorer.scores(part))], ["doc_id", "score"])
+            scores = [np.zeros(0), *(scorer.scores(part) for part in pieces(batch["text"], PIECE))]
+            yield batch.append_column("score", pa.array(np.concatenate(scores)))
 
-    return frame.mapInArrow(score, f"doc_id {kind}, score double").withColumn(
+    return frame.mapInArrow(score, f"{fields}, score double").withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int")
     )
 
