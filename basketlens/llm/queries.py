@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import bpe, decontaminate, linededup, simhash, tokencount, topk, toxicity
+from basketlens.llm import bpe, decontaminate, linededup, simhash, substrings, tokencount, topk, toxicity
 from basketlens.llm.tables import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,9 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@query("op1_substring_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(given(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
