@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import bpe, decontaminate, linededup, simhash, substrings, tokencount, topk, toxicity
+from basketlens.llm import bpe, decontaminate, linededup, lm, simhash, substrings, tokencount, topk, toxicity
 from basketlens.llm.tables import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,3 +102,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(given(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_lm_scores")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.expr("crc32(CAST(doc_id AS STRING)) % 7 = 2"), F.lit(False))
+    documents = given(spark, sf_dir, "documents")
+    scores = lm.score(documents, documents.where(~held_out))
+    return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
