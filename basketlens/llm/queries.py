@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import bpe, decontaminate, linededup, lm, simhash, substrings, tokencount, topk, toxicity
+from basketlens.llm import bpe, decontaminate, licenses, linededup, lm, simhash, substrings, tokencount, topk, toxicity
 from basketlens.llm.tables import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,3 +110,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = given(spark, sf_dir, "documents")
     scores = lm.score(documents, documents.where(~held_out))
     return scores.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op9_license_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(given(spark, sf_dir, "documents"), licenses.default_templates(spark))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", "licenses").alias("licenses"))
