@@ -65,9 +65,10 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     for i, text in enumerate(texts):
         words = [known.setdefault(w, len(known)) for w in text.encode().split()]
         s, e = windows(len(words))
-        # Every second window: neighbours differ in one word.
-        first.append(s[:: WINDOW // 2] + len(codes))
-        last.append(e[:: WINDOW // 2] + len(codes))
+        # Windows half a window apart, and the last one, so that every word is in one.
+        some = np.unique(np.append(np.arange(0, len(s), WINDOW // 2), len(s) - 1))
+        first.append(s[some] + len(codes))
+        last.append(e[some] + len(codes))
         doc.append(np.full(len(first[-1]), i))
         codes += words
     if not known:
