@@ -28,7 +28,8 @@ def load_dimensions(wh: Warehouse, face_path: str | None, category_path: str | N
         (category_path, "category", "ods_category_mapping_full"),
     ):
         if path is not None:
-            rows = read_delimited_text(wh.spark, path, TABLES[staging].columns)
+            # A file of others: nothing in it is escaped.
+            rows = read_delimited_text(wh.spark, path, TABLES[staging].columns, escape=None)
             wh.write_text(staging, rows)
             wh.load_dimension(table, staging)
 

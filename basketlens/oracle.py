@@ -2,7 +2,7 @@
 
 Each statement is written from the definition of its result, not from the Spark plan: words
 are cut and looked up instead of matched by one pattern, snapshots are plain sums over all
-days up to theirs, text lines are cut by position.
+days up to theirs.
 """
 
 from __future__ import annotations
@@ -216,9 +216,6 @@ def _statement(select: str) -> str:
     return f"WITH {parts}\n{select}"
 
 
-ONE_LINE = r"regexp_replace(comment, '[\r\n]+', ' ', 'g')"
-AS_LINE = r"regexp_replace(comment, '\r\n|\r|\n', ' ', 'g')"
-IN_FIELD = f"split_part({AS_LINE}, ',', 1)"
 NULL_LABEL = "category_label IS NULL"
 
 
@@ -304,12 +301,9 @@ ALL_BEHAVIOR = (
 )
 
 SELECTS = {
-    "src_behavior_csv": 'SELECT user_id, goods_id, category_id, behavior, "timestamp", sex,'
-    " address, device, CAST(floor(price) AS DECIMAL(10,2)) AS price, amount, dt FROM behavior",
-    "src_comment_csv": "SELECT user_id, goods_id, category_id,"
-    f" {ONE_LINE} AS comment, dt FROM remark",
-    "src_text_staging": "SELECT user_id, goods_id, category_id,"
-    f" {IN_FIELD} AS comment FROM remark",
+    "src_behavior_csv": f"SELECT {ALL_BEHAVIOR}, dt FROM behavior",
+    "src_comment_csv": "SELECT user_id, goods_id, category_id, comment, dt FROM remark",
+    "src_text_staging": "SELECT user_id, goods_id, category_id, comment FROM remark",
     "sink_text_truncate": f"SELECT {ALL_BEHAVIOR} FROM behavior",
     "jdbc_split_ranges": SPLIT_RANGES,
     "load_dim_face": "SELECT * FROM face",
@@ -320,8 +314,7 @@ SELECTS = {
     "src_result_partition": "SELECT category_label, score, CAST(rk AS BIGINT) AS rk, dt"
     f" FROM goods_pop WHERE {IS_LAST}",
     "ods_load_behavior": "SELECT * FROM behavior",
-    "ods_load_comment": "SELECT user_id, goods_id, category_id,"
-    f" CASE WHEN {IS_LAST} THEN {IN_FIELD} ELSE comment END AS comment, dt FROM remark",
+    "ods_load_comment": "SELECT user_id, goods_id, category_id, comment, dt FROM remark",
     "sink_partition_overwrite": "SELECT * FROM goods_day",
     "sink_bucketed_dim": "SELECT * FROM face",
     "sink_replace_day": f"SELECT category_label, {_wilson('total_buy', 'total_pv')} AS buy_rate,"

@@ -124,14 +124,10 @@ def _warehouse(spark: SparkSession, *tables: str, **create) -> Warehouse:
 
 
 def _write_daily_files(facts: DataFrame, columns) -> str:
-    """Daily files of facts: one folder per day, one record per line."""
+    """Daily files of facts: one folder per day; a quoted text may go over several lines."""
     folder = f"{shared_folder(facts.sparkSession)}/files"
     names = [name for name, _ in columns]
-    one_line = [
-        F.regexp_replace(F.col(n), "[\r\n]+", " ").alias(n) if t == "string" else F.col(n)
-        for n, t in columns
-    ]
-    rows = facts.select(*one_line, PARTITION).select(*names, PARTITION)
+    rows = facts.select(*names, PARTITION)
     rows.hint("rebalance", PARTITION).write.partitionBy(PARTITION).options(**CSV_OPTIONS).csv(
         folder
     )
@@ -140,16 +136,15 @@ def _write_daily_files(facts: DataFrame, columns) -> str:
 
 @query
 def src_behavior_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The file holds whole prices.
-    facts = _behavior(spark, sf_dir).withColumn("price", F.floor("price"))
-    folder = _write_daily_files(facts, BEHAVIOR_FILE)
+    folder = _write_daily_files(_behavior(spark, sf_dir), BEHAVIOR_FILE)
     return to_behavior(read_daily_files(spark, folder, BEHAVIOR_FILE, name="dt={dt}"))
 
 
 @query
 def src_comment_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _write_daily_files(_comment(spark, sf_dir), COMMENT_FILE)
-    return to_comment(read_daily_files(spark, folder, COMMENT_FILE, name="dt={dt}"))
+    rows = read_daily_files(spark, folder, COMMENT_FILE, name="dt={dt}", multi_line=True)
+    return to_comment(rows)
 
 
 @query

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.sources.text import NULL_TEXT
+from basketlens.sources.text import ESCAPE, codes
 
 
-def write_delimited_text(df: DataFrame, path: str, separator: str = ",") -> None:
+def _encoded(field: Column, separator: str, escape: str) -> Column:
+    text = F.replace(field.cast("string"), F.lit(escape), F.lit(2 * escape))
+    for char, code in codes(separator, escape).items():
+        text = F.replace(text, F.lit(char), F.lit(code))
+    return F.coalesce(text, F.lit(f"{escape}N"))
+
+
+def write_delimited_text(
+    df: DataFrame, path: str, separator: str = ",", escape: str = ESCAPE
+) -> None:
     """Replace the folder ``path`` by the rows of ``df``, one line each.
 
-    Fields are not quoted, so a separator inside a text field ends that field for readers.
-    A line is a record: line breaks inside a field become spaces.
+    Separators, line breaks and escapes inside a field are escaped, so that
+    ``read_delimited_text`` gives every row back as it was.
     """
-    fields = [
-        F.coalesce(
-            F.regexp_replace(F.col(c).cast("string"), "\r\n|\r|\n", " "), F.lit(NULL_TEXT)
-        )
-        for c in df.columns
-    ]
+    fields = [_encoded(F.col(c), separator, escape) for c in df.columns]
     lines = df.select(F.concat_ws(separator, *fields).alias("value"))
     lines.write.mode("overwrite").option("lineSep", "\n").text(path)

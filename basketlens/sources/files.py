@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from basketlens.functions.dates import check_dt
 from basketlens.schemas import BEHAVIOR, COMMENT, PARTITION, ddl
 
+# Where Spark puts a record that does not fit the declared columns.
+BAD_RECORD = "_corrupt_record"
+
 Columns = tuple[tuple[str, str], ...]
 
 # Quotes inside a quoted field are doubled; outer spaces belong to the value.
@@ -32,12 +35,15 @@ def read_daily_files(
     days: Sequence[str] | None = None,
     name: str = "{dt}.csv",
     mode: str = "PERMISSIVE",
+    multi_line: bool = False,
 ) -> DataFrame:
     """Typed rows of the daily files under ``root``, with ``dt`` taken from the path.
 
     ``name`` is the file (or folder) name of a day. Without ``days`` every day is read.
     Types are declared, never inferred; an unreadable value is null unless ``mode`` says
-    ``DROPMALFORMED`` or ``FAILFAST``.
+    ``DROPMALFORMED`` or ``FAILFAST``; ``split_daily_files`` keeps such records apart. A name without a run day
+    of eight digits raises. With ``multi_line`` a quoted text may hold line breaks; a file is then read by one
+    task, so a day should be many files.
     """
     before, found, after = name.partition("{dt}")
     if not found:
@@ -47,13 +53,34 @@ def read_daily_files(
         paths = [f"{root}/{before}*{after}"]
     else:
         paths = [f"{root}/{name.format(dt=check_dt(d))}" for d in days]
-    rows = spark.read.schema(ddl(columns)).options(mode=mode, **CSV_OPTIONS).csv(paths)
+    rows = spark.read.schema(ddl(columns)).options(mode=mode, multiLine=multi_line, **CSV_OPTIONS).csv(paths)
     in_path = rf"/{re.escape(before)}(\d{{8}}){re.escape(after)}(?:/|$)"
+    stray = [f for f in rows.inputFiles() if not re.search(in_path, f)]
+    if stray:
+        raise ValueError(f"not a run day: {stray[:5]}")
     return rows.select(
         "*", F.regexp_extract(F.col("_metadata.file_path"), in_path, 1).alias(PARTITION)
     )
 
 
+def split_daily_files(
+    spark: SparkSession,
+    root: str,
+    columns: Columns,
+    days: Sequence[str] | None = None,
+    name: str = "{dt}.csv",
+    multi_line: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of the daily files that can be read, and the others as they stand (column ``record``)."""
+    kept = (*columns, (BAD_RECORD, "string"))
+    rows = read_daily_files(spark, root, kept, days, name, multi_line=multi_line)
+    # Spark looks at the columns that a query names only, so the condition names all of them.
+    seen = F.length(F.concat_ws("", *[F.col(n).cast("string") for n, _ in columns])) >= 0
+    good = rows.where(F.col(BAD_RECORD).isNull() & seen).drop(BAD_RECORD)
+    bad = rows.where(F.col(BAD_RECORD).isNotNull() & seen)
+    return good, bad.withColumnRenamed(BAD_RECORD, "record")
+
+
 def _typed(rows: DataFrame, columns: Columns) -> DataFrame:
     return rows.select(*[F.col(n).try_cast(t).alias(n) for n, t in columns], PARTITION)
 

@@ -21,6 +21,7 @@ from basketlens.sources import (
     read_daily_files,
     read_delimited_text,
     read_jdbc_split,
+    split_daily_files,
     split_predicates,
     to_behavior,
     to_comment,
@@ -60,7 +61,8 @@ def test_delimited_text_rules(spark, tmp_path):
     (tmp_path / "part").write_text(
         "1,2,3,good, really,yes\n1,,3,\n\\N,2\n,,,\\N\n", encoding="utf-8"
     )
-    found = [tuple(r) for r in read_delimited_text(spark, str(tmp_path), COMMENT).collect()]
+    foreign = read_delimited_text(spark, str(tmp_path), COMMENT, escape=None)
+    found = [tuple(r) for r in foreign.collect()]
     assert found == [
         ("1", "2", "3", "good"),
         ("1", "", "3", ""),
@@ -78,10 +80,45 @@ def test_text_sink_replaces_and_keeps_one_line_per_row(spark):
     write_delimited_text(first, folder)
     write_delimited_text(first, folder)
     assert [tuple(r) for r in read_delimited_text(spark, folder, COMMENT).collect()] == [
-        ("1", "2", None, "a b c d")
+        ("1", "2", None, "a\r\nb\nc\rd")
     ]
 
 
+@pytest.mark.parametrize("separator, escape", [(",", "\\"), ("|", "^"), ("\t", "$")])
+def test_text_comes_back_whole(spark, separator, escape):
+    folder = f"{shared_folder(spark)}/text"
+    hard = ["\\N", "\\", "\\\\n", ",\\,", "a,b", "x|^y", "^^s", "$s\t$", "\r\n", "", " ", "'q'\"", None, "a\\nb\\", "N", "日本"]
+    columns = tuple((f"c{i}", "string") for i in range(4))
+    # Each value in each column.
+    rows = [tuple(hard[(i + j) % len(hard)] for j in range(4)) for i in range(len(hard))]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in columns))
+    write_delimited_text(frame, folder, separator, escape)
+    found = [tuple(r) for r in read_delimited_text(spark, folder, columns, separator, escape).collect()]
+    assert sorted(found, key=repr) == sorted(rows, key=repr)
+
+
+def test_text_separator_and_escape_differ(spark):
+    with pytest.raises(ValueError):
+        write_delimited_text(spark.range(1), "unused", ",", ",")
+
+
+def test_daily_file_names_are_days(spark, tmp_path):
+    (tmp_path / "20240101.csv").write_text("1,2,3,x\n", encoding="utf-8")
+    (tmp_path / "backup.csv").write_text("1,2,3,x\n", encoding="utf-8")
+    with pytest.raises(Exception, match="not a run day"):
+        read_daily_files(spark, str(tmp_path), COMMENT_FILE).collect()
+
+
+def test_daily_files_count_what_cannot_be_read(spark, tmp_path):
+    (tmp_path / "20240101.csv").write_text('1,2,3,"a\nb"\n4,5,6,c\n', encoding="utf-8")
+    whole = read_daily_files(spark, str(tmp_path), COMMENT_FILE, multi_line=True)
+    assert {r.comment for r in to_comment(whole).collect()} == {"a\nb", "c"}
+    (tmp_path / "20240101.csv").write_text("1,2,3,pv,4,0,a,b,12.50,1\n7,8,9,buy,x,1,,,oops,2\n", encoding="utf-8")
+    good, bad = split_daily_files(spark, str(tmp_path), BEHAVIOR_FILE)
+    assert [str(r.price) for r in good.collect()] == ["12.50"]
+    assert [(r.record, r.dt) for r in bad.collect()] == [("7,8,9,buy,x,1,,,oops,2", "20240101")]
+
+
 def goods_table(spark, database, name="goods"):
     table = f"{database}.{name}"
     spark.sql(f"CREATE TABLE {table} ({ddl(GOODS_METRICS)}, dt string) USING orc PARTITIONED BY (dt)")
