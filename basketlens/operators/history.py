@@ -55,26 +55,36 @@ def cumulative_history(
     return summed.withColumn(PARTITION, F.lit(dt))
 
 
-def _runs(days: Sequence[str], on_gap: str) -> list[tuple[str, int, int, int]]:
-    """(day, position, run, last position of the run) of each run day in order."""
+def _runs(
+    days: Sequence[str], on_gap: str, stored: Sequence[str] = ()
+) -> tuple[list[tuple[str, int, int, int]], dict[str, str]]:
+    """(day, position, run, last position of the run) of each run day in order, and what runs continue.
+
+    The second is the first day of a run by the stored day whose snapshot it continues.
+    """
     ordered = sorted({check_dt(d) for d in days})
     runs: list[list[str]] = []
+    starts: dict[str, str] = {}
+    others = set(stored) - set(ordered)
     for day in ordered:
-        follows = bool(runs) and (
-            on_gap == "latest" or day_shift(runs[-1][-1], 1) == day
-        )
-        if runs and not follows and on_gap == "error":
-            raise ValueError(f"no run between {runs[-1][-1]} and {day}")
-        if follows:
+        done = runs[-1][-1] if runs else None
+        earlier = [d for d in (*others, done) if d is not None and d < day]
+        newest, yesterday = max(earlier, default=None), day_shift(day, -1)
+        if on_gap == "error" and newest not in (None, yesterday):
+            raise ValueError(f"no run between {newest} and {day}")
+        before = newest if on_gap == "latest" or newest == yesterday else None
+        if before is not None and before == done:
             runs[-1].append(day)
         else:
             runs.append([day])
+            if before is not None:
+                starts[before] = day
     placed = []
     for number, run in enumerate(runs):
         first = len(placed)
         last = first + len(run) - 1
         placed += [(day, first + i, number, last) for i, day in enumerate(run)]
-    return placed
+    return placed, starts
 
 
 def history_snapshots(
@@ -83,20 +93,35 @@ def history_snapshots(
     counters: Sequence[str],
     days: Sequence[str],
     on_gap: str = "reset",
+    history: DataFrame | None = None,
 ) -> DataFrame:
     """The snapshots of all run ``days`` in one job instead of one job per day.
 
     Running sums per key give the snapshot rows of the days on which the key occurs; each
     is then carried forward to the days before the next such day. Windows hold at most one
     row per key and day, and every row made is a row of the result.
+
+    ``history`` is what is stored already. A day continues the snapshot that ``previous_snapshot`` would
+    choose for it: one of the days before it in ``days``, or a stored one of another day.
     """
     spark = daily.sparkSession
     if on_gap not in ON_GAP:
         raise ValueError(f"on_gap must be one of {ON_GAP}")
+    columns = [*keys, *counters, PARTITION]
+    stored: list[str] = []
+    if history is not None:
+        stored = [r[0] for r in history.select(PARTITION).distinct().collect()]
+    placed, starts = _runs(days, on_gap, stored)
+    daily = daily.select(*columns)
+    if starts:
+        begins = spark.createDataFrame(list(starts.items()), f"{PARTITION} string, _first string")
+        before = history.where(F.col(PARTITION).isin(list(starts))).join(F.broadcast(begins), PARTITION)
+        both = daily.unionByName(before.drop(PARTITION).withColumnRenamed("_first", PARTITION).select(*columns))
+        daily = both.groupBy(*keys, PARTITION).agg(*[F.sum(c).alias(c) for c in counters])
     # One row per run day, from the caller's list: small by definition.
     calendar = F.broadcast(
         spark.createDataFrame(
-            _runs(days, on_gap), f"{PARTITION} string, _pos int, _run int, _last int"
+            placed, f"{PARTITION} string, _pos int, _run int, _last int"
         )
     )
     in_run = Window.partitionBy("_run", *keys).orderBy("_pos")

@@ -1,7 +1,7 @@
 """Many run days in one job per table, with the same result as running them one by one.
 
-For tables that do not hold these days yet: a day without rows in a table has no partition
-there, so nothing would replace one left by an earlier run (``run_day`` does).
+What the tables hold of these days is replaced, also by nothing; what they hold of others is kept, and
+histories continue it.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ def backfill_detail(wh: Warehouse, days: Sequence[str]) -> None:
     face = wh.read("ods_user_face_full")
     category = wh.read("ods_category_mapping_full")
     behavior = wide_behavior(_of_days(wh, "user_behavior_inc", days), face, category)
-    wh.write_days("dwd_user_behavior", behavior, rebalance=True)
+    wh.replace_days("dwd_user_behavior", behavior, days)
     comment = wide_comment(_of_days(wh, "user_comment_inc", days), face, category)
-    wh.write_days("dwd_user_comment", comment, rebalance=True)
+    wh.replace_days("dwd_user_comment", comment, days)
 
 
 def backfill_metrics(
@@ -41,19 +41,19 @@ def backfill_metrics(
 ) -> None:
     """Daily aggregates of all ``days``."""
     faces = face_metrics(_of_days(wh, "dwd_user_behavior", days), salts)
-    wh.write_days("dws_face_day", faces, rebalance=True)
+    wh.replace_days("dws_face_day", faces, days)
     goods = goods_from_face(_of_days(wh, "dws_face_day", days))
-    wh.write_days("dws_goods_day", goods, rebalance=True)
+    wh.replace_days("dws_goods_day", goods, days)
     reputation = reputation_metrics(_of_days(wh, "dwd_user_comment", days), lexicon, salts)
-    wh.write_days("dws_goods_reputation_day", reputation, rebalance=True)
+    wh.replace_days("dws_goods_reputation_day", reputation, days)
 
 
 def backfill_history(wh: Warehouse, days: Sequence[str], on_gap: str = "reset") -> None:
-    """Snapshots of all ``days``, which start the history."""
+    """Snapshots of all ``days``, continuing the stored ones of other days."""
     for daily, full, keys, counters in HISTORIES:
         rows = _of_days(wh, daily, days)
-        snapshots = history_snapshots(rows, keys, counters, days, on_gap)
-        wh.write_days(full, snapshots, rebalance=True)
+        snapshots = history_snapshots(rows, keys, counters, days, on_gap, wh.read(full))
+        wh.replace_days(full, snapshots, days)
 
 
 def start_history(wh: Warehouse, dt: str) -> None:
@@ -71,7 +71,7 @@ def backfill_results(wh: Warehouse, days: Sequence[str]) -> None:
         "ads_goods_score": goods_score(_of_days(wh, "dws_goods_reputation_full", days)),
     }
     for name, rows in results.items():
-        wh.write_days(name, rows, rebalance=True)
+        wh.replace_days(name, rows, days)
 
 
 def backfill(
@@ -81,7 +81,7 @@ def backfill(
     salts: int = 0,
     on_gap: str = "reset",
 ) -> None:
-    """All steps of ``days``, which start the history, over their loaded facts."""
+    """All steps of ``days`` over their loaded facts."""
     backfill_detail(wh, days)
     backfill_metrics(wh, days, lexicon, salts)
     backfill_history(wh, days, on_gap)

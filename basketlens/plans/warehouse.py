@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from basketlens.schemas import LAYERS, PARTITION, TABLES, TableSpec
 from basketlens.sinks.partitions import overwrite_day, overwrite_days
@@ -98,6 +99,19 @@ class Warehouse:
     def write_days(self, name: str, df: DataFrame, rebalance: bool = False) -> None:
         overwrite_days(df, self.table(name), rebalance)
 
+    def replace_days(self, name: str, df: DataFrame, days: Sequence[str]) -> None:
+        """Replace the partitions of all ``days`` by those of ``df``, which has no other days.
+
+        Partitions that stand there already are emptied first, as a day without rows replaces nothing. ``df`` may
+        read other days of the table.
+        """
+        table = self.read(name)
+        there = table.where(F.col(PARTITION).isin(list(days))).select(PARTITION).distinct().collect()
+        nothing = self.spark.createDataFrame([], table.schema)
+        for row in there:
+            self.write_day(name, nothing, row[0])
+        self.write_days(name, df, rebalance=True)
+
     def load_dimension(self, name: str, staging: str) -> None:
         """Replace a dimension by the rows of its text table."""
         rows = self.read(staging).select(*TABLES[name].data_columns)
