@@ -4,7 +4,8 @@ A template is a short license notice, known by its shingles of two words. Templa
 two) are looked for in windows of 2L words, one every L words, so each occurrence lies whole in
 some window, whose Jaccard similarity to the template is then at least a quarter of it for the shortest of
 the class. ``POINTS`` bands of one minimum each bring a template and such a window together with probability
-1 - 0.75**32, over 0.9998. What meets is verified by exact containment of the template's shingles.
+1 - 0.75**32, over 0.9998. What meets is verified by exact containment of the template's shingles, and by the
+runs of words that tell it from templates of other licenses that are nearly the same (version 2 or 3, BY or BY-NC).
 
 The bands of windows stream against the bands of templates; texts are not shuffled for it. Whether the templates are
 broadcast is left to Spark, which looks at their size.
@@ -12,7 +13,7 @@ broadcast is left to Spark, which looks at their size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.llm.decontaminate import digest, words
@@ -53,6 +54,29 @@ def _shingles(w: Column) -> Column:
     return F.sort_array(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(w, i, SHINGLE))))
 
 
+#: Words on each side of a place where two templates differ that must stand there, too.
+CONTEXT = 2
+
+
+def _runs(a: list[str], b: list[str]) -> set[str]:
+    """The runs of words of ``a`` around each pair of neighbours that ``b`` does not have."""
+    theirs = set(zip(b, b[1:]))
+    return {" ".join(a[max(0, i - CONTEXT + 1) : i + 1 + CONTEXT]) for i, pair in enumerate(zip(a, a[1:])) if pair not in theirs}
+
+
+def _told_apart(rows: list[Row], containment: float) -> list[tuple[str, list[str], list[str]]]:
+    """license, w, must: ``must`` has the runs that a text needs beside its shingles not to be of another license."""
+    out = []
+    for row in rows:
+        mine, must = set(zip(row.w, row.w[1:])), set()
+        for other in rows:
+            near = len(mine & set(zip(other.w, other.w[1:]))) >= containment * len(mine)
+            if other.license != row.license and near:
+                must |= _runs(row.w, other.w)
+        out.append((row.license, row.w, sorted(must)))
+    return out
+
+
 def _banded(frame: DataFrame, *keep: str) -> DataFrame:
     """``keep``, grams and a row for each band of the frame's ``grams``: band, key."""
     firsts, signed = signature()
@@ -68,13 +92,17 @@ def scan(documents: DataFrame, templates: DataFrame, containment: float = CONTAI
     """doc_id, licenses (sorted) of every row of ``documents``.
 
     ``templates`` has license and text. A license is found if a window holds at least ``containment`` of the
-    different shingles of one of its templates; a template of four shingles must be whole. Null and
+    different shingles of one of its templates, and every run of words that tells the template from those of other
+    licenses that share as much with it; a template of four shingles must be whole. Templates come to the driver. Null and
     empty texts have no license, and templates without words or name find none. Each row is scanned by itself; repeated rows
     and ids, also null ones, stay. Other columns are not read.
     """
     kept = templates.select("license", words("text").alias("w")).where("license IS NOT NULL AND size(w) > 0").distinct()
+    kept = documents.sparkSession.createDataFrame(
+        _told_apart(kept.collect(), containment), "license string, w array<string>, must array<string>"
+    )
     length = F.greatest(F.lit(SHORTEST), F.pow(2, F.ceil(F.log2(F.size("w")))).cast("int"))
-    known = stored(_banded(kept.select("license", length.alias("length"), _shingles(F.col("w")).alias("grams")), "license", "length"))
+    known = stored(_banded(kept.select("license", "must", length.alias("length"), _shingles(F.col("w")).alias("grams")), "license", "length", "must"))
     # One row for each class of template lengths, a handful however many templates.
     lengths = [r.length for r in known.select("length").distinct().collect()]
     texts = documents.select(digest("text").alias("digest"), words("text").alias("w")).where("size(w) > 0")
@@ -88,11 +116,13 @@ def scan(documents: DataFrame, templates: DataFrame, containment: float = CONTAI
             )
         ).alias("w"),
     )
-    banded = _banded(cut.select("digest", "length", _shingles(F.col("w")).alias("grams")), "digest", "length")
-    template = known.select("license", "length", "band", "key", F.array_distinct("grams").alias("_template"))
+    banded = _banded(cut.select("digest", "length", "w", _shingles(F.col("w")).alias("grams")), "digest", "length", "w")
+    template = known.select("license", "length", "must", "band", "key", F.array_distinct("grams").alias("_template"))
     met = banded.join(template, ["length", "band", "key"])
     held = F.size(F.array_intersect("_template", "grams")) >= containment * F.size("_template")
-    found = met.where(held).select("digest", "license").distinct().groupBy("digest").agg(
+    said = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
+    apart = F.forall("must", lambda run: F.instr(said, F.concat(F.lit(" "), run, F.lit(" "))) > 0)
+    found = met.where(held).where(apart).select("digest", "license").distinct().groupBy("digest").agg(
         F.array_sort(F.collect_set("license")).alias("licenses")
     )
     rows = documents.select("doc_id", digest("text").alias("digest"))
