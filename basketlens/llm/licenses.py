@@ -1,13 +1,13 @@
-"""License scans by MinHash bands over overlapping windows, all in DataFrame functions.
+"""License scans over overlapping windows of words, all in DataFrame functions.
 
 A template is a short license notice, known by its shingles of two words. Templates of up to L words (L a power of
 two) are looked for in windows of 2L words, one every L words, so each occurrence lies whole in
-some window, whose Jaccard similarity to the template is then at least a quarter of it for the shortest of
-the class. ``POINTS`` bands of one minimum each bring a template and such a window together with probability
-1 - 0.75**32, over 0.9998. What meets is verified by exact containment of the template's shingles, and by the
-runs of words that tell it from templates of other licenses that are nearly the same (version 2 or 3, BY or BY-NC).
+some window. A window that holds a share c of a template's n shingles holds one at least of any n - c * n + 1 of them;
+so many, the longest, are filed for each template, and no occurrence is missed. What meets is verified by exact
+containment of the template's shingles, and by the runs of words that tell it from templates of other
+licenses that are nearly the same (version 2 or 3, BY or BY-NC).
 
-The bands of windows stream against the bands of templates; texts are not shuffled for it. Whether the templates are
+The shingles of windows stream against the filed ones; texts are not shuffled for it. Whether the templates are
 broadcast is left to Spark, which looks at their size.
 """
 
@@ -17,12 +17,9 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens.llm.decontaminate import digest, words
-from basketlens.llm.linededup import POINTS as ARCS
-from basketlens.llm.linededup import signature
 from basketlens.llm.tables import stored
 
 SHINGLE = 2
-POINTS = 32
 CONTAINMENT = 0.8
 #: The least class of lengths.
 SHORTEST = 8
@@ -77,15 +74,13 @@ def _told_apart(rows: list[Row], containment: float) -> list[tuple[str, list[str
     return out
 
 
-def _banded(frame: DataFrame, *keep: str) -> DataFrame:
-    """``keep``, grams and a row for each band of the frame's ``grams``: band, key."""
-    firsts, signed = signature()
-    picked = F.transform(F.sequence(F.lit(0), F.lit(POINTS - 1)), lambda i: F.get("_signature", i * (ARCS // POINTS)))
-    return (
-        frame.withColumn("_firsts", firsts)
-        .withColumn("_signature", signed)
-        .select(*keep, "grams", F.posexplode(picked).alias("band", "key"))
-    )
+def _filed(w: Column, containment: float) -> Column:
+    """Hashes of the longest shingles, as many as a text must hold one of."""
+    n = F.greatest(F.size(w) - SHINGLE + 1, F.lit(1))
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.slice(w, i, SHINGLE)))
+    longest = F.sort_array(F.transform(runs, lambda r: F.struct(F.length(F.array_join(r, " ")).alias("n"), r.alias("run"))), asc=False)
+    some = (F.size(runs) - F.ceil(F.size(runs) * containment - 1e-6) + 1).cast("int")
+    return F.transform(F.slice(longest, F.lit(1), some), lambda r: F.xxhash64(r["run"]))
 
 
 def scan(documents: DataFrame, templates: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
@@ -102,7 +97,16 @@ def scan(documents: DataFrame, templates: DataFrame, containment: float = CONTAI
         _told_apart(kept.collect(), containment), "license string, w array<string>, must array<string>"
     )
     length = F.greatest(F.lit(SHORTEST), F.pow(2, F.ceil(F.log2(F.size("w")))).cast("int"))
-    known = stored(_banded(kept.select("license", "must", length.alias("length"), _shingles(F.col("w")).alias("grams")), "license", "length", "must"))
+    grams = _shingles(F.col("w"))
+    known = stored(
+        kept.select(
+            "license",
+            "must",
+            length.alias("length"),
+            F.array_distinct(grams).alias("_template"),
+            F.explode(_filed(F.col("w"), containment)).alias("key"),
+        )
+    )
     # One row for each class of template lengths, a handful however many templates.
     lengths = [r.length for r in known.select("length").distinct().collect()]
     texts = documents.select(digest("text").alias("digest"), words("text").alias("w")).where("size(w) > 0")
@@ -116,9 +120,8 @@ def scan(documents: DataFrame, templates: DataFrame, containment: float = CONTAI
             )
         ).alias("w"),
     )
-    banded = _banded(cut.select("digest", "length", "w", _shingles(F.col("w")).alias("grams")), "digest", "length", "w")
-    template = known.select("license", "length", "must", "band", "key", F.array_distinct("grams").alias("_template"))
-    met = banded.join(template, ["length", "band", "key"])
+    shingled = cut.select("digest", "length", "w", grams.alias("grams"))
+    met = shingled.withColumn("key", F.explode(F.array_distinct("grams"))).join(known, ["length", "key"])
     held = F.size(F.array_intersect("_template", "grams")) >= containment * F.size("_template")
     said = F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" "))
     apart = F.forall("must", lambda run: F.instr(said, F.concat(F.lit(" "), run, F.lit(" "))) > 0)
