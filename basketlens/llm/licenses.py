@@ -13,6 +13,9 @@ broadcast is left to Spark, which looks at their size.
 
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,25 +27,12 @@ CONTAINMENT = 0.8
 #: The least class of lengths.
 SHORTEST = 8
 
-# Notices by which texts name their license.
-TEMPLATES = [
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT", "Released under the MIT License."),
-    (
-        "MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files",
-    ),
-]
+#: Headers, notices and sentences of bodies by which texts hold their license, as [license, text].
+TEMPLATES = Path(__file__).with_name("license_templates.json")
 
 
 def default_templates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TEMPLATES, "license string, text string")
+    return spark.createDataFrame(json.loads(TEMPLATES.read_text()), "license string, text string")
 
 
 def _shingles(w: Column) -> Column:
