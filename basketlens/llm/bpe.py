@@ -38,62 +38,92 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def names(ranks: dict[bytes, int]) -> dict[int, bytes]:
+    return {i: k for k, i in ranks.items()}
+
+
+def spelled(names: dict[int, bytes], ids: bytes) -> bytes | None:
+    """The bytes of ids (little-endian, 32 bits each); null if one is unknown or cut short."""
+    if len(ids) % 4:
+        return None
+    try:
+        return b"".join(map(names.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+    except KeyError:
+        return None
+
+
 class PerfectHash:
     """A minimal perfect hash: n keys, n slots, built by hashing and displacing.
 
     Keys are dealt to buckets. From the largest bucket on, the first displacement is taken that puts
-    all its keys into free slots; buckets of one key get a free slot by number (as -1 - slot).
+    all its keys into free slots; buckets of one key get a free slot by number (as -1 - slot). Bucket and
+    displaced slots come from hashes of different seeds, so keys that share a bucket share nothing
+    else, and each displacement is a new throw. A bucket that finds no place in ``TRIES`` throws starts the
+    whole construction again with other seeds.
     """
 
+    TRIES = 1 << 14
+
     def __init__(self, keys: list[bytes]):
+        if len(set(keys)) < len(keys):
+            raise ValueError("repeated keys")
         n = self.n = len(keys)
         self.buckets = max(1, n // 3)
-        hashes = [self._hashes(k) for k in keys]
+        self.seed = 0
+        while n and not self._built(keys):
+            self.seed += 1 << 32
+
+    def _built(self, keys: list[bytes]) -> bool:
         members: list[list[int]] = [[] for _ in range(self.buckets)]
-        for i, (bucket, _, _) in enumerate(hashes):
-            members[bucket].append(i)
+        for i, key in enumerate(keys):
+            members[self._hash(key, self.seed) % self.buckets].append(i)
         self.moves = [0] * self.buckets
-        self.slots: list[int] = [-1] * n
+        self.slots: list[int] = [-1] * self.n
         single = []
         for bucket in sorted(range(self.buckets), key=lambda b: -len(members[b])):
             inside = members[bucket]
             if len(inside) == 1:
                 single.append(bucket)
-                continue
-            move = 0
-            while inside:
-                at = {(hashes[i][1] + move * hashes[i][2]) % n for i in inside}
-                if len(at) == len(inside) and all(self.slots[x] < 0 for x in at):
-                    for i in inside:
-                        self.slots[(hashes[i][1] + move * hashes[i][2]) % n] = i
-                    break
-                move += 1
-            self.moves[bucket] = move
-        free = (x for x in range(n) if self.slots[x] < 0)
-        for bucket, slot in zip(single, list(free), strict=True):
+            elif inside and not self._placed(bucket, inside, keys):
+                return False
+        free = [x for x in range(self.n) if self.slots[x] < 0]
+        for bucket, slot in zip(single, free, strict=True):
             self.moves[bucket] = -1 - slot
             self.slots[slot] = members[bucket][0]
+        return True
+
+    def _placed(self, bucket: int, inside: list[int], keys: list[bytes]) -> bool:
+        for move in range(self.TRIES):
+            at = [self._hash(keys[i], self.seed + 1 + move) % self.n for i in inside]
+            if all(self.slots[x] < 0 for x in at) and len(set(at)) == len(at):
+                for i, x in zip(inside, at, strict=True):
+                    self.slots[x] = i
+                self.moves[bucket] = move
+                return True
+        return False
 
-    def _hashes(self, key: bytes) -> tuple[int, int, int]:
-        h = xxhash.xxh3_64_intdigest(key)
-        return h % self.buckets, h >> 32, h & 0xFFFFFFFF | 1
+    _hash = staticmethod(xxhash.xxh3_64_intdigest)
 
     def find(self, key: bytes) -> int:
-        """The place of the only key that this one can be."""
-        bucket, a, b = self._hashes(key)
-        move = self.moves[bucket]
-        return self.slots[-1 - move if move < 0 else (a + move * b) % self.n]
+        """The place of the only key that this one can be; -1 if there are no keys."""
+        if not self.n:
+            return -1
+        move = self.moves[self._hash(key, self.seed) % self.buckets]
+        return self.slots[-1 - move if move < 0 else self._hash(key, self.seed + 1 + move) % self.n]
 
 
 class Vocabulary:
     """Encoding and decoding by ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
+        missing = [x for x in range(256) if bytes([x]) not in ranks]
+        if missing:
+            raise ValueError(f"bytes without a rank: {missing}")
         self.ranks, self.pattern = ranks, pattern
         self.keys = list(ranks)
         self.ids = list(ranks.values())
         self.whole = PerfectHash(self.keys)
-        self.bytes_of = {i: k for k, i in ranks.items()}
+        self.bytes_of = names(ranks)
         self._ready()
 
     def _ready(self) -> None:
@@ -169,11 +199,7 @@ class Vocabulary:
         return np.frombuffer(b"".join(self.encode_chunks([text.encode()])), dtype="<u4").tolist()
 
     def decode(self, ids: bytes) -> bytes | None:
-        """The bytes of ids (little-endian, 32 bits each); null if one is unknown."""
-        try:
-            return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-        except KeyError:
-            return None
+        return spelled(self.bytes_of, ids)
 
 
 def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -252,14 +278,19 @@ def round_trip(
 
 
 def decode(frame: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """The frame with a column of the bytes its ids stand for; null for null or unknown ids."""
-    vocabulary = frame.sparkSession.sparkContext.broadcast(Vocabulary(read_ranks(path), "."))
+    """The frame with a column of the bytes its ids stand for; null for null or unknown ids.
+
+    Empty ids are empty bytes; repeated rows and other columns stay as they are. A column that has the name
+    of the new one is replaced.
+    """
+    known = frame.sparkSession.sparkContext.broadcast(names(read_ranks(path)))
+    kept = [c for c in frame.columns if c != decoded or c == ids]
+    out = [c for c in kept if c != decoded]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*out).schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = vocabulary.value.decode
         for batch in batches:
-            texts = pa.array([None if x is None else look(x) for x in batch[ids].to_pylist()], pa.binary())
-            yield batch.append_column(decoded, texts)
+            texts = pa.array([None if x is None else spelled(known.value, x) for x in batch[ids].to_pylist()], pa.binary())
+            yield batch.select(out).append_column(decoded, texts)
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema]
-    return frame.mapInArrow(run, ", ".join([*fields, f"`{decoded}` binary"]))
+    return frame.select(*kept).mapInArrow(run, ", ".join([*fields, f"`{decoded}` binary"]))
