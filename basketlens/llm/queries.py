@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketlens.llm import bpe, decontaminate, licenses, linededup, lm, simhash, substrings, tokencount, topk, toxicity
+from basketlens.llm import (
+    bpe,
+    decontaminate,
+    licenses,
+    linededup,
+    lm,
+    sentencepieces,
+    simhash,
+    substrings,
+    tokencount,
+    topk,
+    toxicity,
+)
 from basketlens.llm.tables import given
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +128,14 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(given(spark, sf_dir, "documents"), licenses.default_templates(spark))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", "licenses").alias("licenses"))
+
+
+@query("op13_sentencepiece")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trip = sentencepieces.round_trip(given(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return trip.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
