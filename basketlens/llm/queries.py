@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm import (
     bpe,
+    collocations,
     decontaminate,
     licenses,
     linededup,
@@ -130,6 +131,51 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", "licenses").alias("licenses"))
 
 
+@query("op11_collocations")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(given(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_collocations"] = r"""
+WITH pieces AS (
+    SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\n\x0B\f\r]')) AS piece
+        FROM documents)
+), phrases AS (
+    SELECT lang, k, list_slice(w, i, i + k - 1) AS p, count(*) AS f
+    FROM (SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+          FROM pieces, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+    GROUP BY ALL
+), often AS (
+    SELECT * FROM phrases WHERE f >= 10
+), cuts AS (
+    SELECT o.lang, o.k, o.p, o.f AS a, x.k AS cut, x.f AS l, y.f AS r,
+        CAST((1000000::HUGEINT * o.f * o.f) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM often o, often x, often y
+    WHERE o.k > 1 AND x.lang = o.lang AND y.lang = o.lang AND x.k < o.k
+      AND x.p = list_slice(o.p, 1, x.k) AND y.p = list_slice(o.p, x.k + 1, o.k)
+), scored AS (
+    SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), inside AS (
+    SELECT lang, q, max(f) AS f FROM (
+        SELECT lang, list_slice(p, 1, 2) AS q, f FROM often WHERE k = 3
+        UNION ALL SELECT lang, list_slice(p, 2, 3), f FROM often WHERE k = 3)
+    GROUP BY lang, q
+), ranked AS (
+    SELECT s.lang, array_to_string(s.p, ' ') AS phrase, s.a, s.l, s.r, s.score,
+        row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, array_to_string(s.p, ' ')) AS rank
+    FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.q = s.p
+    WHERE i.f IS NULL OR 100 * i.f < 50 * s.a
+)
+SELECT ranked.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l,
+    CAST(r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n, score
+FROM ranked JOIN (SELECT lang, sum(f) AS n FROM phrases WHERE k = 1 GROUP BY lang) t ON t.lang = ranked.lang
+WHERE rank <= 2000
+"""
+
+
 @query("op13_sentencepiece")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     trip = sentencepieces.round_trip(given(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
