@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basketlens.llm import (
     bpe,
     collocations,
+    conversations,
     decontaminate,
     licenses,
     linededup,
@@ -22,7 +23,7 @@ from basketlens.llm import (
     topk,
     toxicity,
 )
-from basketlens.llm.tables import given
+from basketlens.llm.tables import given, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,6 +177,28 @@ WHERE rank <= 2000
 """
 
 
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = given(spark, sf_dir, "conversations")
+    rows = conversations.damaged(table)
+    found = stored(conversations.reports(rows))
+    hashes = conversations.digests(conversations.repaired(rows, found)).withColumnRenamed("conv_id", "_hashed")
+    reported = found.withColumnRenamed("conv_id", "_reported")
+    numbers = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return (
+        table.select("conv_id")
+        .distinct()
+        .join(reported, F.col("conv_id").eqNullSafe(F.col("_reported")), "left")
+        .join(hashes, F.col("conv_id").eqNullSafe(F.col("_hashed")), "left")
+        .select(
+            "conv_id",
+            *(F.coalesce(x, F.lit(0)).alias(x) for x in numbers),
+            F.coalesce("audit", F.lit("")).alias("audit"),
+            F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+        )
+    )
+
+
 @query("op13_sentencepiece")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     trip = sentencepieces.round_trip(given(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
