@@ -44,6 +44,8 @@ BITS = 21
 LOW = (1 << BITS) - 1
 #: Language of a text without one (fixed value).
 NO_LANGUAGE = "und"
+#: Prefix partitions for each shuffle partition: a group of runs is merged in memory, so groups are small.
+GROUPS = 6
 #: Salts for the first cut of a language's ranking.
 PARTS = 64
 
@@ -303,14 +305,14 @@ def _merged_pairs(runs: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray,
     """Pairs and triples of at least so many occurrences from the runs of a partition."""
 
     def whole(name: str, kind: str) -> np.ndarray:
-        return np.concatenate([np.frombuffer(x, dtype=kind) for x in runs[name].to_pylist()])
+        return np.concatenate([np.frombuffer(x.as_buffer(), dtype=kind) for x in runs[name]])
 
     keys = whole("keys", "<u8").reshape(-1, 2)
     sizes = whole("sizes", "<u4").astype(np.int64)
-    thirds, counts = whole("thirds", "<u8"), whole("counts", "<u4").astype(np.int64)
+    thirds, counts = whole("thirds", "<u8"), whole("counts", "<u4")
     first, second = keys[:, 0], keys[:, 1]
     begin = np.cumsum(sizes) - sizes
-    sums = np.add.reduceat(counts, begin)
+    sums = np.add.reduceat(counts, begin, dtype=np.int64)
     # Each run is in this order already, so the stable sort merges them.
     mixed = _mix(first, second)
     order = mixed.argsort(kind="stable")
@@ -321,16 +323,16 @@ def _merged_pairs(runs: pa.Table, least: int) -> Iterator[tuple[int, np.ndarray,
     (one, two), total = _sums([a, b], sums[order])
     often = (total >= least) & (two != 0)
     yield PAIR, one[often], two[often], np.zeros(often.sum(), dtype=np.uint64), total[often]
-    # A triple is no more frequent than its first pair.
-    spread = np.zeros(len(order), dtype=bool)
-    group = np.zeros(len(order), dtype=np.int64)
+    # A triple is no more frequent than its first pair, so the windows of rare pairs are left.
     changes = np.ones(len(order), dtype=bool)
     changes[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    group[order] = np.cumsum(changes) - 1
-    spread = often[group]
-    of_window = np.repeat(np.arange(len(sizes)), sizes)
-    take = spread[of_window] & (thirds != 0)
-    x, y, z, n = first[of_window[take]], second[of_window[take]], thirds[take], counts[take]
+    of_often = np.empty(len(order), dtype=bool)
+    of_often[order] = often[np.cumsum(changes) - 1]
+    take = np.repeat(of_often, sizes)
+    pair = np.repeat(np.flatnonzero(of_often), sizes[of_often])
+    z, n = thirds[take], counts[take]
+    x, y, n = first[pair][z != 0], second[pair][z != 0], n[z != 0].astype(np.int64)
+    z = z[z != 0]
     order = np.lexsort((z, y, x))
     (x, y, z), n = _sums([x[order], y[order], z[order]], n[order])
     often = n >= least
@@ -390,7 +392,7 @@ def counts(documents: DataFrame, least: int, text: str = "text", lang: str = "la
     share a hash, all is counted again with the next of ``seeds`` seeds.
     """
     spark = documents.sparkSession
-    parts = tasks(spark)
+    parts = GROUPS * tasks(spark)
     frame = documents.select(F.col(text).cast("string").alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
     for seed in range(seeds):
 
