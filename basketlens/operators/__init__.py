@@ -18,6 +18,7 @@ from basketlens.operators.history import (
     empty_history,
     history_snapshots,
     previous_snapshot,
+    restated_snapshots,
 )
 from basketlens.operators.joins import (
     frequent_keys,
@@ -36,7 +37,7 @@ from basketlens.operators.metrics import (
     reputation_metrics,
 )
 from basketlens.operators.aggregate import Measure, aggregate
-from basketlens.operators.quality import export_key_violations
+from basketlens.operators.quality import TooManyRejects, export_key_violations, gated
 from basketlens.operators.rank import (
     face_favorite,
     goods_pop,
@@ -56,7 +57,9 @@ __all__ = [
     "dedup_comment",
     "drop_null_keys",
     "empty_history",
+    "TooManyRejects",
     "export_key_violations",
+    "gated",
     "face_favorite",
     "face_metrics",
     "frequent_keys",
@@ -72,6 +75,7 @@ __all__ = [
     "join_face",
     "label_comments",
     "previous_snapshot",
+    "restated_snapshots",
     "project_behavior",
     "project_comment",
     "reputation_metrics",

@@ -18,19 +18,25 @@ def empty_history(spark: SparkSession, spec: TableSpec) -> DataFrame:
     return spark.createDataFrame([], spec.full_ddl)
 
 
-def previous_snapshot(history: DataFrame, dt: str, on_gap: str = "reset") -> DataFrame:
+def previous_snapshot(
+    history: DataFrame, dt: str, on_gap: str = "reset", stored: Sequence[str] | None = None
+) -> DataFrame:
     """The snapshot that day ``dt`` continues: the one of the day before.
 
     Without that partition, ``reset`` starts the history again at ``dt`` (an empty frame),
     ``latest`` continues the newest earlier snapshot, and ``error`` raises unless there is
-    no earlier snapshot at all. Errors of any other kind are never taken for a first day.
+    no earlier snapshot at all. Errors of any other kind are never taken for a first day. ``stored`` are the
+    days that the history has, if known; else they are read from it.
     """
     if on_gap not in ON_GAP:
         raise ValueError(f"on_gap must be one of {ON_GAP}")
     yesterday = day_shift(dt, -1)
     if on_gap == "reset":
         return history.where(F.col(PARTITION) == yesterday)
-    newest = history.where(F.col(PARTITION) < dt).agg(F.max(PARTITION)).first()[0]
+    if stored is None:
+        newest = history.where(F.col(PARTITION) < dt).agg(F.max(PARTITION)).first()[0]
+    else:
+        newest = max((d for d in stored if d < dt), default=None)
     if on_gap == "error" and newest is not None and newest != yesterday:
         raise ValueError(f"snapshot {yesterday} is missing; the newest before {dt} is {newest}")
     return history.where(F.col(PARTITION) == (newest or yesterday))
@@ -94,6 +100,7 @@ def history_snapshots(
     days: Sequence[str],
     on_gap: str = "reset",
     history: DataFrame | None = None,
+    stored: Sequence[str] | None = None,
 ) -> DataFrame:
     """The snapshots of all run ``days`` in one job instead of one job per day.
 
@@ -102,15 +109,15 @@ def history_snapshots(
     row per key and day, and every row made is a row of the result.
 
     ``history`` is what is stored already. A day continues the snapshot that ``previous_snapshot`` would
-    choose for it: one of the days before it in ``days``, or a stored one of another day.
+    choose for it: one of the days before it in ``days``, or a stored one of another day. ``stored`` are the days
+    that the history has, if known; else they are read from it.
     """
     spark = daily.sparkSession
     if on_gap not in ON_GAP:
         raise ValueError(f"on_gap must be one of {ON_GAP}")
     columns = [*keys, *counters, PARTITION]
-    stored: list[str] = []
-    if history is not None:
-        stored = [r[0] for r in history.select(PARTITION).distinct().collect()]
+    if stored is None:
+        stored = [] if history is None else [r[0] for r in history.select(PARTITION).distinct().collect()]
     placed, starts = _runs(days, on_gap, stored)
     daily = daily.select(*columns)
     if starts:
@@ -136,3 +143,58 @@ def history_snapshots(
     return carried.join(calendar.select("_pos", PARTITION), on="_pos").select(
         *keys, *counters, PARTITION
     )
+
+
+def restated_snapshots(
+    history: DataFrame,
+    old: DataFrame,
+    new: DataFrame,
+    others: DataFrame,
+    keys: Sequence[str],
+    counters: Sequence[str],
+    days: Sequence[str],
+) -> DataFrame:
+    """The snapshots of ``days`` after the aggregates of a day in all of them went from ``old`` to ``new``.
+
+    Each key's difference is added to its row of each snapshot, in one grouping. A key that the day has anew gets
+    rows; one that it has no more loses those of the snapshots up to the first of the ``others``, the
+    aggregates of the chain's other days, that has it. Zero counters keep a row, as sums do.
+    """
+    columns = [*keys, *counters]
+    gains = new.select(*columns, F.lit(1).alias("_now"), F.lit(0).alias("_was"))
+    losses = old.select(
+        *keys, *[(-F.col(c)).alias(c) for c in counters], F.lit(0).alias("_now"), F.lit(1).alias("_was")
+    )
+    change = (
+        gains.unionByName(losses)
+        .groupBy(*keys)
+        .agg(*[F.sum(c).alias(c) for c in counters], F.max("_now").alias("_now"), F.max("_was").alias("_was"))
+        .where(" OR ".join([*[f"`{c}` <> 0" for c in counters], "_now <> _was"]))
+    )
+    lost = change.where("_now = 0").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    elsewhere = others.join(lost, same, "left_semi").groupBy(*keys).agg(F.min(PARTITION).alias("_first"))
+    zeros = [F.lit(0).cast("long").alias(c) for c in (*counters, "_now", "_was")]
+    facts = change.withColumn("_first", F.lit(None).cast("string")).unionByName(
+        elsewhere.select(*keys, *zeros, "_first")
+    )
+    # From the caller's list of days: small by definition; every row made is one of a snapshot.
+    moved = facts.withColumn(PARTITION, F.explode(F.array(*[F.lit(d) for d in days])))
+    stands = history.where(F.col(PARTITION).isin(list(days))).select(
+        *columns, PARTITION, F.lit(1).alias("_stands")
+    )
+    both = stands.unionByName(moved.withColumn("_stands", F.lit(0)), allowMissingColumns=True)
+    return (
+        both.groupBy(*keys, PARTITION)
+        .agg(
+            *[F.sum(c).alias(c) for c in counters],
+            *[F.max(c).alias(c) for c in ("_stands", "_now", "_was")],
+            F.min("_first").alias("_first"),
+        )
+        .where(
+            f"_now = 1 OR (_stands = 1 AND (coalesce(_was, 0) = 0 OR coalesce(_first <= {PARTITION}, false)))"
+        )
+        .select(*columns, PARTITION)
+    )

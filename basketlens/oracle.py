@@ -232,15 +232,43 @@ NO_FACE = "CAST(NULL AS VARCHAR)"
 NO_RANK = "CAST(NULL AS INTEGER)"
 IS_LAST = "dt = (SELECT dt FROM last_day)"
 
-RESULTS = f"""
-SELECT 'goods_pop' AS result, {NO_FACE} AS face, category_label, score AS value, rk, dt
-FROM goods_pop WHERE {IS_LAST}
-UNION ALL
-SELECT 'face_favorite', face, category_label, score, rk, dt FROM face_favorite
-UNION ALL
-SELECT 'goods_pv_to_buy', {NO_FACE}, category_label, buy_rate, {NO_RANK}, dt FROM goods_pv_to_buy
-UNION ALL
-SELECT 'goods_score', {NO_FACE}, category_label, good_rate, {NO_RANK}, dt FROM goods_score"""
+def _exported(result: str, rows: str, columns: str, key: str) -> str:
+    """Rows of a result whose key has no null part, and the number of the others."""
+    has_null = " OR ".join(f"{k} IS NULL" for k in key.split(", "))
+    return f"""
+SELECT '{result}' AS result, {columns}, dt,
+       (SELECT CAST(count(*) AS BIGINT) FROM ({rows}) WHERE {has_null}) AS rejects
+FROM ({rows}) WHERE NOT ({has_null})"""
+
+
+EXPORTED = "\nUNION ALL\n".join(
+    [
+        _exported(
+            "goods_pop",
+            f"SELECT * FROM goods_pop WHERE {IS_LAST}",
+            f"{NO_FACE} AS face, category_label, score AS value, rk",
+            "category_label",
+        ),
+        _exported(
+            "face_favorite",
+            "SELECT * FROM face_favorite",
+            "face, category_label, score AS value, rk",
+            "face, category_label",
+        ),
+        _exported(
+            "goods_pv_to_buy",
+            "SELECT * FROM goods_pv_to_buy",
+            f"{NO_FACE} AS face, category_label, buy_rate AS value, {NO_RANK} AS rk",
+            "category_label",
+        ),
+        _exported(
+            "goods_score",
+            "SELECT * FROM goods_score",
+            f"{NO_FACE} AS face, category_label, good_rate AS value, {NO_RANK} AS rk",
+            "category_label",
+        ),
+    ]
+)
 
 
 def _snapshot_rows(daily: str, keys: str) -> str:
@@ -369,8 +397,10 @@ SELECTS = {
     "sentiment_label_unsegmented": "SELECT doc_id, score,"
     " CASE WHEN score >= 1 THEN 1 ELSE 0 END AS label"
     f" FROM (SELECT doc_id, {_score('text', FRAGMENTS)} AS score FROM documents)",
-    "daily_run": RESULTS,
-    "daily_rerun": RESULTS,
+    "daily_run": EXPORTED,
+    "daily_rerun": EXPORTED,
+    "backfill_continues": "SELECT * FROM snapshots",
+    "history_restate": "SELECT * FROM snapshots",
     "layer_tables": _layer_rows(),
 }
 

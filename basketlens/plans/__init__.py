@@ -9,6 +9,9 @@ from basketlens.plans.backfill import (
     start_history,
 )
 from basketlens.plans.daily import build_detail, build_history, build_metrics, build_results, run_day
+from basketlens.plans.export import create_targets, export_days, exported, stage_export
+from basketlens.plans.load import load_files
+from basketlens.plans.restate import restate_day, stage_restated
 from basketlens.plans.warehouse import Warehouse
 
 __all__ = [
@@ -22,6 +25,13 @@ __all__ = [
     "build_history",
     "build_metrics",
     "build_results",
+    "create_targets",
+    "export_days",
+    "exported",
+    "load_files",
+    "restate_day",
     "run_day",
+    "stage_export",
+    "stage_restated",
     "start_history",
 ]

@@ -18,6 +18,7 @@ from basketlens.operators.joins import wide_behavior, wide_comment
 from basketlens.operators.metrics import face_metrics, goods_from_face, reputation_metrics
 from basketlens.operators.rank import face_favorite, goods_pop, goods_pv_to_buy, goods_score
 from basketlens.plans.daily import HISTORIES
+from basketlens.plans.export import export_days
 from basketlens.plans.warehouse import Warehouse
 from basketlens.schemas import PARTITION
 
@@ -52,7 +53,7 @@ def backfill_history(wh: Warehouse, days: Sequence[str], on_gap: str = "reset")
     """Snapshots of all ``days``, continuing the stored ones of other days."""
     for daily, full, keys, counters in HISTORIES:
         rows = _of_days(wh, daily, days)
-        snapshots = history_snapshots(rows, keys, counters, days, on_gap, wh.read(full))
+        snapshots = history_snapshots(rows, keys, counters, days, on_gap, wh.read(full), wh.days(full))
         wh.replace_days(full, snapshots, days)
 
 
@@ -80,9 +81,11 @@ def backfill(
     lexicon: Lexicon = CHINESE,
     salts: int = 0,
     on_gap: str = "reset",
+    tolerated: float = 1.0,
 ) -> None:
-    """All steps of ``days`` over their loaded facts."""
+    """All steps of ``days`` over their loaded facts, up to the export targets."""
     backfill_detail(wh, days)
     backfill_metrics(wh, days, lexicon, salts)
     backfill_history(wh, days, on_gap)
     backfill_results(wh, days)
+    export_days(wh, days, tolerated)

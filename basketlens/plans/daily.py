@@ -1,4 +1,4 @@
-"""One run day: detail, metrics, history, results. Each step reads what the last one stored.
+"""One run day: detail, metrics, history, results, export. Each step reads what the last one stored.
 
 Storing each layer cuts the lineage: a lost executor costs tasks of one step, and a failed
 step is run again on its own. Every step replaces its partitions, so a day can be rerun.
@@ -6,6 +6,8 @@ step is run again on its own. Every step replaces its partitions, so a day can b
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from basketlens.functions.dates import check_dt
 from basketlens.functions.sentiment import CHINESE, Lexicon
 from basketlens.operators.history import advance_history, empty_history, previous_snapshot
@@ -21,6 +23,7 @@ from basketlens.operators.metrics import (
     reputation_metrics,
 )
 from basketlens.operators.rank import face_favorite, goods_pop, goods_pv_to_buy, goods_score
+from basketlens.plans.export import export_days
 from basketlens.plans.warehouse import Warehouse
 from basketlens.schemas import TABLES
 
@@ -58,7 +61,7 @@ def build_metrics(wh: Warehouse, dt: str, lexicon: Lexicon = CHINESE, salts: int
 def build_history(wh: Warehouse, dt: str, on_gap: str = "reset") -> None:
     """Snapshots of the day from those of the day before."""
     for daily, full, keys, counters in HISTORIES:
-        before, today = previous_snapshot(wh.read(full), dt, on_gap), wh.read(daily, dt)
+        before, today = previous_snapshot(wh.read(full), dt, on_gap, wh.days(full)), wh.read(daily, dt)
         if before.isEmpty() and today.isEmpty():
             # Rows of an earlier run of the day must go; without rows no partition is touched.
             wh.write_day(full, empty_history(wh.spark, TABLES[full]), dt)
@@ -75,11 +78,17 @@ def build_results(wh: Warehouse, dt: str) -> None:
 
 
 def run_day(
-    wh: Warehouse, dt: str, lexicon: Lexicon = CHINESE, salts: int = 0, on_gap: str = "reset"
-) -> None:
-    """All steps of day ``dt`` whose facts are loaded."""
+    wh: Warehouse,
+    dt: str,
+    lexicon: Lexicon = CHINESE,
+    salts: int = 0,
+    on_gap: str = "reset",
+    tolerated: float = 1.0,
+) -> dict[str, Mapping[str, int]]:
+    """All steps of day ``dt`` whose facts are loaded; the numbers of exported and refused rows."""
     check_dt(dt)
     build_detail(wh, dt)
     build_metrics(wh, dt, lexicon, salts)
     build_history(wh, dt, on_gap)
     build_results(wh, dt)
+    return export_days(wh, [dt], tolerated)

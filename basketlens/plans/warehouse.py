@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from basketlens.schemas import LAYERS, PARTITION, TABLES, TableSpec
-from basketlens.sinks.partitions import overwrite_day, overwrite_days
+from basketlens.sinks.partitions import overwrite_day, overwrite_days, replace_days, stored_days
+from basketlens.sinks.publish import publish_days
 from basketlens.sinks.text import write_delimited_text
 from basketlens.sources.tables import read_dimension, read_partition
 from basketlens.sources.text import field_expressions, read_delimited_text
@@ -100,17 +100,16 @@ class Warehouse:
         overwrite_days(df, self.table(name), rebalance)
 
     def replace_days(self, name: str, df: DataFrame, days: Sequence[str]) -> None:
-        """Replace the partitions of all ``days`` by those of ``df``, which has no other days.
+        """Replace the partitions of all ``days`` by those of ``df``, which has no other days."""
+        replace_days(df, self.table(name), days)
 
-        Partitions that stand there already are emptied first, as a day without rows replaces nothing. ``df`` may
-        read other days of the table.
-        """
-        table = self.read(name)
-        there = table.where(F.col(PARTITION).isin(list(days))).select(PARTITION).distinct().collect()
-        nothing = self.spark.createDataFrame([], table.schema)
-        for row in there:
-            self.write_day(name, nothing, row[0])
-        self.write_days(name, df, rebalance=True)
+    def publish_days(self, name: str, df: DataFrame, days: Sequence[str]) -> None:
+        """The same at one stroke for readers; ``df`` may read these days of the table."""
+        publish_days(df, self.table(name), days)
+
+    def days(self, name: str) -> list[str]:
+        """The stored days of a table, from the catalog."""
+        return stored_days(self.spark, self.table(name))
 
     def load_dimension(self, name: str, staging: str) -> None:
         """Replace a dimension by the rows of its text table."""

@@ -36,6 +36,8 @@ from basketlens.plans import (
     backfill,
     backfill_detail,
     backfill_metrics,
+    exported,
+    restate_day,
     run_day,
     start_history,
 )
@@ -277,13 +279,13 @@ def sink_bucketed_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sink_replace_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The export of each result day into a table target, the last day exported twice."""
+    """The export of each result day into a table target at one stroke, the last day exported twice."""
     wh = _warehouse(spark, "ads_goods_pv_to_buy")
     table, days = "ads_goods_pv_to_buy", _days(spark, sf_dir)
     daily = dws_goods_day(spark, sf_dir)
     snapshots = op.history_snapshots(daily, GOODS_KEYS, GOODS_COUNTERS, days)
-    wh.write_days(table, op.goods_pv_to_buy(snapshots), rebalance=True)
-    wh.write_day(table, ads_goods_pv_to_buy(spark, sf_dir), days[-1])
+    wh.publish_days(table, op.goods_pv_to_buy(snapshots), days)
+    wh.publish_days(table, ads_goods_pv_to_buy(spark, sf_dir), days[-1:])
     return wh.read(table)
 
 
@@ -570,8 +572,8 @@ def _run(spark: SparkSession, sf_dir: str, times: int) -> tuple[Warehouse, str]:
     return wh, last
 
 
-def _results(wh: Warehouse, last: str) -> DataFrame:
-    """The four result tables of a day in one long frame."""
+def _exported(wh: Warehouse, last: str) -> DataFrame:
+    """What stands in the four export targets for a day in one long frame, with each target's rejects."""
     values = {
         "ads_goods_pop": "score",
         "ads_face_favorite": "score",
@@ -580,7 +582,7 @@ def _results(wh: Warehouse, last: str) -> DataFrame:
     }
     whole = None
     for name, value in values.items():
-        rows = wh.read(name, last)
+        rows = exported(wh, name, last)
         face = F.col("face") if "face" in rows.columns else F.lit(None).cast("string")
         rank = F.col("rk") if "rk" in rows.columns else F.lit(None).cast("int")
         part = rows.select(
@@ -590,6 +592,7 @@ def _results(wh: Warehouse, last: str) -> DataFrame:
             F.col(value).alias("value"),
             rank.alias("rk"),
             PARTITION,
+            "rejects",
         )
         whole = part if whole is None else whole.unionByName(part)
     return whole
@@ -597,12 +600,40 @@ def _results(wh: Warehouse, last: str) -> DataFrame:
 
 @query
 def daily_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(*_run(spark, sf_dir, 1))
+    return _exported(*_run(spark, sf_dir, 1))
 
 
 @query
 def daily_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(*_run(spark, sf_dir, 2))
+    return _exported(*_run(spark, sf_dir, 2))
+
+
+@query
+def backfill_continues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of all days after a backfill of the first ones, one of the rest, and the last ones again."""
+    wh, days = _loaded(spark, sf_dir)
+    for some in (days[: len(days) // 3], days[len(days) // 3 :], days[len(days) // 2 :]):
+        backfill(wh, some, WORDS)
+    return wh.read("dws_goods_full")
+
+
+@query
+def history_restate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of all days after a day in the middle, run on other facts at first, is put right.
+
+    At first the day has half of its facts and those of the first day, so that keys appear and vanish.
+    """
+    wh, days = _loaded(spark, sf_dir)
+    day = days[len(days) // 2]
+    right = _behavior(spark, sf_dir, day, day)
+    wrong = right.where("CAST(goods_id AS INT) % 2 = 0").unionByName(
+        _behavior(spark, sf_dir, days[0], days[0]).withColumn(PARTITION, F.lit(day))
+    )
+    wh.write_day("user_behavior_inc", wrong, day)
+    backfill(wh, days, WORDS)
+    wh.write_day("user_behavior_inc", right, day)
+    restate_day(wh, day, WORDS)
+    return wh.read("dws_goods_full")
 
 
 @query

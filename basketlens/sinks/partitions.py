@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from basketlens.functions.dates import check_dt
 from basketlens.operators.clean import align_columns
+from basketlens.operators.quality import observed
 from basketlens.schemas import PARTITION
+from basketlens.sinks.files import remove_folder
+from basketlens.sinks.publish import partitions, table_folder
 
 _MODE = "spark.sql.sources.partitionOverwriteMode"
 
@@ -59,3 +63,33 @@ def overwrite_days(df: DataFrame, table: str, rebalance: bool = False) -> None:
         aligned = aligned.hint("rebalance", PARTITION)
     with _dynamic_overwrite(spark):
         aligned.write.mode("overwrite").insertInto(table)
+
+
+def stored_days(spark: SparkSession, table: str) -> list[str]:
+    """The days that have a partition, in order; from the catalog, without a job."""
+    return sorted(p.removeprefix(f"{PARTITION}=") for p in partitions(spark, table))
+
+
+def drop_days(spark: SparkSession, table: str, days: Sequence[str]) -> None:
+    """Take ``days`` out of ``table``, by one statement, and delete their folders."""
+    if not days:
+        return
+    specs = ", ".join(f"PARTITION ({PARTITION} = '{check_dt(d)}')" for d in days)
+    spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+    folder = table_folder(spark, table)
+    for day in days:
+        # Dropping a partition of a table with a location of its own leaves the files.
+        remove_folder(spark, f"{folder}/{PARTITION}={day}")
+
+
+def replace_days(df: DataFrame, table: str, days: Sequence[str]) -> None:
+    """Replace the partitions of all ``days`` by those of ``df``, which has no other days.
+
+    One job: which days have rows is observed while it writes, and stored days without any are dropped after
+    it. Readers find the old days until then, and a failed write leaves them.
+    """
+    spark = df.sparkSession
+    there = set(stored_days(spark, table)) & set(days)
+    written = Observation()
+    overwrite_days(df.observe(written, F.collect_set(PARTITION).alias("days")), table, rebalance=True)
+    drop_days(spark, table, sorted(there - set(observed(written).get("days", []))))

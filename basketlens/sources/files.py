@@ -63,6 +63,23 @@ def read_daily_files(
     )
 
 
+def flagged_daily_files(
+    spark: SparkSession,
+    root: str,
+    columns: Columns,
+    days: Sequence[str] | None = None,
+    name: str = "{dt}.csv",
+    multi_line: bool = False,
+) -> DataFrame:
+    """The records of the daily files; ``record`` is null, or what stands there if it cannot be read.
+
+    Spark looks at the columns that a query names only, so a record's flag is right where all columns are in use.
+    """
+    kept = (*columns, (BAD_RECORD, "string"))
+    rows = read_daily_files(spark, root, kept, days, name, multi_line=multi_line)
+    return rows.withColumnRenamed(BAD_RECORD, "record")
+
+
 def split_daily_files(
     spark: SparkSession,
     root: str,
@@ -72,23 +89,21 @@ def split_daily_files(
     multi_line: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """The rows of the daily files that can be read, and the others as they stand (column ``record``)."""
-    kept = (*columns, (BAD_RECORD, "string"))
-    rows = read_daily_files(spark, root, kept, days, name, multi_line=multi_line)
-    # Spark looks at the columns that a query names only, so the condition names all of them.
+    rows = flagged_daily_files(spark, root, columns, days, name, multi_line)
+    # The condition names all columns.
     seen = F.length(F.concat_ws("", *[F.col(n).cast("string") for n, _ in columns])) >= 0
-    good = rows.where(F.col(BAD_RECORD).isNull() & seen).drop(BAD_RECORD)
-    bad = rows.where(F.col(BAD_RECORD).isNotNull() & seen)
-    return good, bad.withColumnRenamed(BAD_RECORD, "record")
+    good = rows.where(F.col("record").isNull() & seen).drop("record")
+    return good, rows.where(F.col("record").isNotNull() & seen)
 
 
-def _typed(rows: DataFrame, columns: Columns) -> DataFrame:
-    return rows.select(*[F.col(n).try_cast(t).alias(n) for n, t in columns], PARTITION)
+def _typed(rows: DataFrame, columns: Columns, *others: str) -> DataFrame:
+    return rows.select(*[F.col(n).try_cast(t).alias(n) for n, t in columns], *others, PARTITION)
 
 
-def to_behavior(rows: DataFrame) -> DataFrame:
-    """File types to warehouse types: ids become strings, the time a number or null."""
-    return _typed(rows, BEHAVIOR)
+def to_behavior(rows: DataFrame, *others: str) -> DataFrame:
+    """File types to warehouse types: ids become strings, the time a number or null; ``others`` stay."""
+    return _typed(rows, BEHAVIOR, *others)
 
 
-def to_comment(rows: DataFrame) -> DataFrame:
-    return _typed(rows, COMMENT)
+def to_comment(rows: DataFrame, *others: str) -> DataFrame:
+    return _typed(rows, COMMENT, *others)

@@ -8,7 +8,9 @@ import pytest
 
 from basketlens.adapters import shared_folder
 from basketlens.jobs import main
-from basketlens.plans import Warehouse
+from basketlens.operators.quality import TooManyRejects
+from basketlens.plans import Warehouse, exported
+from basketlens.plans.load import rejects
 
 
 @pytest.fixture()
@@ -85,3 +87,36 @@ def test_steps_can_be_run_alone(shop):
     assert rows(wh, "ads_face_favorite", "20240101")
     with pytest.raises(SystemExit):
         main(["2024-01-01", *common])
+
+
+def test_quoted_line_breaks_and_rejects(shop):
+    wh, common, load, dims, folder = shop
+    (folder / "c" / "20240101.csv").write_text('1,10,100,"很好吃\n物流快"\n2,10,200,"太难吃了"\n', encoding="utf-8")
+    main(["20240101", *common, *load, *dims])
+    assert {r.comment for r in wh.read("user_comment_inc", "20240101").collect()} == {"很好吃\n物流快", "太难吃了"}
+    assert rows(wh, "dws_goods_reputation_day", "20240101") == [("tea", 1, 0, 1), ("toy", 1, 1, 0)]
+    (folder / "c" / "20240101.csv").write_text("oops\n1,10,100,好吃\n", encoding="utf-8")
+    with pytest.raises(TooManyRejects):
+        main(["20240101", *common, *load])
+    assert wh.read("user_comment_inc", "20240101").count() == 2
+    main(["20240101", *common, *load, "--tolerated-unreadable", "0.5"])
+    assert [r.record for r in wh.spark.table(rejects(wh, "user_comment_inc")).collect()] == ["oops"]
+
+
+def test_export_and_backfill_on_the_command_line(shop):
+    wh, common, load, dims, folder = shop
+    main(["20240101", *common, *load, *dims, "--through", "20240102"])
+    at_once = {n: rows(wh, n, d) for n in ("dws_goods_full", "ads_goods_pop") for d in ("20240101", "20240102")}
+    pop = exported(wh, "ads_goods_pop", "20240101")
+    assert {(r.category_label, r.rk, r.rejects) for r in pop.collect()} == {("toy", 1, 1), ("tea", 2, 1)}
+    for day in ("20240101", "20240102"):
+        main([day, *common, *load])
+    assert at_once == {n: rows(wh, n, d) for n in ("dws_goods_full", "ads_goods_pop") for d in ("20240101", "20240102")}
+    # The first day's file is mended later: the second day's snapshot follows.
+    (folder / "b" / "20240101.csv").write_text("1,10,100,pv,1,0,x,d,5,1\n", encoding="utf-8")
+    main(["20240101", *common, *load, "--restate"])
+    assert rows(wh, "dws_goods_full", "20240102") == sorted([("toy", 2, 0, 0), ("tea", 0, 0, 1)], key=str)
+    with pytest.raises(SystemExit):
+        main(["20240102", *common, *load, "--through", "20240101"])
+    with pytest.raises(SystemExit):
+        main(["20240101", *common, "--restate", "--steps", "detail"])

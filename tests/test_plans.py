@@ -9,14 +9,18 @@ from basketlens import adapters
 from basketlens.adapters import WORDS, given, shared_folder
 from basketlens.functions import sentiment_label, wilson_lower
 from basketlens.operators.clean import drop_null_keys
-from basketlens.plans import Warehouse, backfill, run_day
+from basketlens.operators.history import restated_snapshots
+from basketlens.plans import Warehouse, backfill, exported, restate_day, run_day, stage_restated
 from basketlens.plans.daily import build_history
+from basketlens.plans.restate import run_of
 from basketlens.plans.warehouse import DECLARED_BUCKETS
 from basketlens.registry import QUERIES
-from basketlens.schemas import TABLES
+from basketlens.schemas import EXPORTS, TABLES
+from basketlens.sinks import publish
 from basketlens.sources import read_partition
 from tests.compare import rows_of
 from tests.test_operators import plan_of
+from tests.test_publish import jobs
 
 SF = "/root/testdata/sf0.001"
 DAYS = ["20240112", "20240113", "20240114"]
@@ -83,6 +87,105 @@ def test_backfill_with_a_gap_can_raise(spark):
         backfill(wh, [DAYS[2]], WORDS, on_gap="error")
 
 
+def test_backfill_over_stored_days_takes_no_more(spark):
+    wh = loaded(spark)
+    first = jobs(spark, lambda: backfill(wh, DAYS, WORDS))
+    before = content(wh)
+    assert jobs(spark, lambda: backfill(wh, DAYS, WORDS)) <= first
+    assert content(wh) == before
+
+
+def test_a_run_ends_in_the_export_targets(spark, by_day):
+    for name in EXPORTS:
+        results = by_day.read(name, DAYS[2])
+        key = EXPORTS[name][1]
+        good = [r for r in results.collect() if None not in [r[k] for k in key]]
+        found = exported(by_day, name, DAYS[2])
+        refused = results.count() - len(good)
+        assert rows_of(found.columns, found.collect()) == rows_of(
+            [*results.columns, "rejects"], [(*r, refused) for r in good]
+        )
+
+
+def changed(spark, kind: str):
+    """Behaviours of the three days with another middle day: half of it, none, or also those of the first day."""
+    facts = adapters.behavior_facts(given(spark, SF, "events")).where(F.col("dt").isin(DAYS))
+    middle = facts.where(F.col("dt") == DAYS[1])
+    other = {
+        "half": middle.where("CAST(goods_id AS INT) % 2 = 0"),
+        "none": middle.limit(0),
+        "more": middle.unionByName(facts.where(F.col("dt") == DAYS[0]).withColumn("dt", F.lit(DAYS[1]))),
+        "other": facts.where(F.col("dt") == DAYS[2]).withColumn("dt", F.lit(DAYS[1])),
+    }[kind]
+    return middle, other
+
+
+@pytest.mark.parametrize("kind", ["half", "none", "more", "other"])
+def test_a_restated_day_is_as_if_run_rightly(spark, by_day, kind):
+    wh = loaded(spark)
+    right, wrong = changed(spark, kind)
+    if kind == "none":
+        # Only the aggregates are gone: the day keeps its snapshot, carried from the day before.
+        right, wrong = wrong, right
+    wh.write_day("user_behavior_inc", wrong, DAYS[1])
+    backfill(wh, DAYS, WORDS)
+    wh.write_day("user_behavior_inc", right, DAYS[1])
+    restate_day(wh, DAYS[1], WORDS)
+    if kind == "none":
+        expected = loaded(spark)
+        expected.write_day("user_behavior_inc", right, DAYS[1])
+        backfill(expected, DAYS, WORDS)
+    else:
+        expected = by_day
+    assert content(wh) == content(expected)
+    found = exported(wh, "ads_goods_pv_to_buy", DAYS[2])
+    assert found.count() == exported(expected, "ads_goods_pv_to_buy", DAYS[2]).count()
+
+
+def test_an_interrupted_restatement_changes_nothing(spark):
+    wh = loaded(spark)
+    backfill(wh, DAYS, WORDS)
+    before = content(wh)
+    others = wh.read("dwd_user_behavior", DAYS[0]).withColumn("dt", F.lit(DAYS[1]))
+    wh.publish_days("dwd_user_behavior", others, [DAYS[1]])
+    staged, days = stage_restated(wh, DAYS[1], WORDS)
+    assert days == DAYS[1:]
+    names = [n for n in BUILT if n != "dwd_user_behavior"]
+    assert content(wh, names) == {n: before[n] for n in names}
+    for _ in range(2):
+        publish(spark, staged)
+    once = content(wh, ["dws_goods_day", "dws_goods_full"])
+    assert once["dws_goods_full"] != before["dws_goods_full"]
+
+
+def test_the_chain_of_a_day():
+    stored = ["20240101", "20240103", "20240104", "20240106"]
+    assert run_of(stored, "20240104") == ["20240103", "20240104"]
+    assert run_of(stored, "20240104", "latest") == stored
+    with pytest.raises(ValueError, match="no snapshot"):
+        run_of(stored, "20240102")
+
+
+def test_keys_that_appear_and_vanish(spark):
+    schema = "category_label string, n long, dt string"
+
+    def frame(*rows):
+        return spark.createDataFrame(list(rows), schema)
+
+    history = frame(
+        ("a", 1, "1"), ("a", 3, "2"), ("b", 4, "2"), (None, 0, "2"), ("a", 3, "3"), ("b", 9, "3"), (None, 0, "3"), ("z", 1, "3"), ("a", 4, "4"), ("b", 9, "4"), (None, 0, "4"), ("z", 1, "4")
+    )
+    old = frame(("a", 2, "2"), ("b", 4, "2"), (None, 0, "2"))
+    new = frame(("a", 0, "2"), ("c", 0, "2"))
+    others = frame(("a", 1, "1"), ("b", 5, "3"), ("z", 1, "3"), ("a", 1, "4"))
+    found = restated_snapshots(history, old, new, others, ["category_label"], ["n"], ["2", "3", "4"])
+    assert {(r.dt, r.category_label, r.n) for r in found.collect()} == {
+        ("2", "a", 1), ("2", "c", 0),
+        ("3", "a", 1), ("3", "b", 5), ("3", "c", 0), ("3", "z", 1),
+        ("4", "a", 2), ("4", "b", 5), ("4", "c", 0), ("4", "z", 1),
+    }
+
+
 def test_null_filter_reaches_the_scan(spark, by_day):
     plan = plan_of(drop_null_keys(by_day.read("user_behavior_inc")))
     assert "IsNotNull(user_id)" in plan and "IsNotNull(category_id)" in plan
