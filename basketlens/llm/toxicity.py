@@ -5,8 +5,10 @@ by hashing. The vectors of a window of consecutive words are averaged and go thr
 of two classes. A text is as toxic as its most toxic window, so a few words in a long text are not
 diluted. Misspelt and unseen words share n-grams, and so vectors, with those seen.
 
-Training is on a bounded sample of labelled rows (``SAMPLE`` of each class), on the driver. What goes to
-the executors is one number for each n-gram bucket: of the average only its product with the softmax
+Training is on a bounded sample of labelled rows, on the driver: ``SAMPLE`` ids of each class, chosen by a hash from the
+labels alone, and of these the texts of up to ``LONGEST_TEXT`` bytes. So the driver gets 4,000 texts of 16 KB at
+most, whatever the corpus. Windows are short, as an insult is a word or two: in longer ones the words around it outweigh
+it. What goes to the executors is one number for each n-gram bucket: of the average only its product with the softmax
 weights is ever needed. Texts are scored where they are read; there is no shuffle of texts.
 """
 
@@ -21,28 +23,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.memo import Memo
+from basketlens.llm.tables import stored
 from basketlens.llm.words import Texts, pieces
 
 #: Labelled rows of each class that training takes at most.
 SAMPLE = 2000
+#: Bytes of a text that training takes; every text is scored whole.
+LONGEST_TEXT = 1 << 14
 BUCKETS = 1 << 17
 WIDTH = 8
 GRAMS = (3, 4, 5, 6)
-WINDOW = 8
-ROUNDS = 120
+WINDOW = 2
+ROUNDS = 60
 RATE = 0.05
 THRESHOLD = 0.7
 PIECE = 1 << 22
 REMEMBERED = 400_000
-#: Letters of a word that are looked at in one go; longer words are remembered by none.
+#: Longer words are not remembered; n-grams of a word that are made at once start in so many letters.
 LONGEST = 64
+LETTERS = 1 << 12
 
 
-def grams(word: str) -> np.ndarray:
-    """Buckets of the n-grams of a word, and of the word."""
+def gram_blocks(word: str) -> Iterator[np.ndarray]:
+    """Buckets of the n-grams of a word, and of the word; of a very long one in bounded parts."""
     core = f"<{word.strip('.,;:!?|()[]\"').lower()}>"
-    parts = [core[i : i + n] for n in GRAMS for i in range(len(core) - n + 1)] + [core]
-    return np.array([zlib.crc32(p.encode()) % BUCKETS for p in parts], dtype=np.int32)
+    yield np.array([zlib.crc32(core.encode()) % BUCKETS], dtype=np.int32)
+    for low in range(0, len(core), LETTERS):
+        high = min(len(core), low + LETTERS)
+        parts = [core[i : i + n] for n in GRAMS for i in range(low, min(high, len(core) - n + 1))]
+        yield np.array([zlib.crc32(p.encode()) % BUCKETS for p in parts], dtype=np.int32)
+
+
+def grams(word: str) -> np.ndarray:
+    return np.concatenate(list(gram_blocks(word)))
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +79,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
         words = [known.setdefault(w, len(known)) for w in text.encode().split()]
         s, e = windows(len(words))
         # Windows half a window apart, and the last one, so that every word is in one.
-        some = np.unique(np.append(np.arange(0, len(s), WINDOW // 2), len(s) - 1))
+        some = np.unique(np.append(np.arange(0, len(s), max(1, WINDOW // 2)), len(s) - 1))
         first.append(s[some] + len(codes))
         last.append(e[some] + len(codes))
         doc.append(np.full(len(first[-1]), i))
@@ -81,6 +94,8 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     gram, word_of = np.concatenate(bags), np.repeat(np.arange(len(bags)), in_bag)
     code = np.array(codes)
 
+    # Both classes weigh the same, however many rows there are of each.
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     rng = np.random.default_rng(7)
     vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH))
     softmax = rng.normal(0, 0.5, (2, WIDTH))
@@ -96,7 +111,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
         share = np.exp(np.minimum(0, 4 * (logit - top[doc])))
         share /= np.bincount(doc, share, len(texts))[doc]
         z = np.bincount(doc, share * logit, len(texts)) + bias[1] - bias[0]
-        slope = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) / len(texts)
+        slope = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
         # Back: text, window, word, n-gram, vector.
         at_window = slope[doc] * share / size
         edge = np.bincount(start, at_window, len(code) + 1) - np.bincount(end, at_window, len(code) + 1)
@@ -121,9 +136,12 @@ class Scorer:
     def word(self, word: str) -> float:
         score = self.memo.get(word)
         if score is None:
-            score = float(self.value[grams(word)].mean())
             if len(word) <= LONGEST:
+                score = float(self.value[grams(word)].mean())
                 self.memo.put(word, score)
+            else:
+                sums = [(self.value[block].sum(dtype=np.float64), len(block)) for block in gram_blocks(word)]
+                score = float(sum(x for x, _ in sums) / sum(n for _, n in sums))
         return score
 
     def scores(self, texts: Texts) -> np.ndarray:
@@ -142,14 +160,31 @@ class Scorer:
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[str], list[int]]:
-    """At most ``most`` labelled texts of each class, in the order of a hash of their ids."""
+    """Labelled texts of at most ``most`` ids of each class, the first by a hash of their ids.
+
+    Ids are chosen without texts. Texts of more than ``LONGEST_TEXT`` bytes are left out, and of the texts of an id one is
+    taken, the least. An id with both labels is of both classes.
+    """
+    there = documents.select("doc_id").where("doc_id IS NOT NULL").distinct()
     marked = labels.select("doc_id", F.col(label).alias("label")).where("label IN (0, 1)").distinct()
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marked, "doc_id")
-    found = [
-        rows.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "text").limit(most).select("text").collect()
-        for c in (0, 1)
-    ]
-    return [r.text for part in found for r in part], [c for c in (0, 1) for _ in found[c]]
+    marked = stored(marked.join(there, "doc_id", "left_semi").withColumn("hash", F.xxhash64("doc_id")))
+    count = {r.label: r.n for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    chosen = []
+    for c in (0, 1):
+        # Hashes are even, so few more than ``most`` are below the bound, whatever the number of partitions.
+        share = min(1.0, (1.2 * most + 100) / max(1, count.get(c, 0)))
+        bound = int(-(2**63) + share * (2**64 - 1))
+        low = marked.where((F.col("label") == c) & (F.col("hash") <= F.lit(min(bound, 2**63 - 1))))
+        chosen += [(r.doc_id, c) for r in low.orderBy("hash", "doc_id").limit(most).collect()]
+    if not chosen:
+        return [], []
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    # At most 2 * most ids.
+    ids = F.broadcast(documents.sparkSession.createDataFrame(chosen, f"doc_id {kind}, label int"))
+    short = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= LONGEST_TEXT)
+    found = short.join(ids, "doc_id").groupBy("label", "doc_id").agg(F.min("text").alias("text"))
+    rows = sorted((r.label, r.doc_id, r.text) for r in found.collect())
+    return [text for _, _, text in rows], [c for c, _, _ in rows]
 
 
 def toxicity(
