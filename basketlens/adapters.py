@@ -23,6 +23,7 @@ WORDS = Lexicon(
 FRAGMENTS = Lexicon(
     positive=frozenset("en ent au ing que".split()),
     negative=frozenset("enta aux ou er un".split()),
+    neutral=frozenset("quer over une enti".split()),
 )
 
 # The value of "k" in the properties of an event. A pattern, because reading the text as JSON

@@ -30,14 +30,16 @@ from basketlens.operators.joins import (
     wide_comment,
 )
 from basketlens.operators.metrics import (
+    comment_labels,
     face_metrics,
     goods_from_face,
     goods_metrics,
     label_comments,
+    reputation_from_comments,
     reputation_metrics,
 )
 from basketlens.operators.aggregate import Measure, aggregate
-from basketlens.operators.quality import TooManyRejects, export_key_violations, gated
+from basketlens.operators.quality import TooManyRejects, export_key_violations, export_violations, gated
 from basketlens.operators.rank import (
     face_favorite,
     goods_pop,
@@ -53,12 +55,14 @@ __all__ = [
     "aggregate",
     "align_columns",
     "cumulative_history",
+    "comment_labels",
     "dedup_behavior",
     "dedup_comment",
     "drop_null_keys",
     "empty_history",
     "TooManyRejects",
     "export_key_violations",
+    "export_violations",
     "gated",
     "face_favorite",
     "face_metrics",
@@ -78,6 +82,7 @@ __all__ = [
     "restated_snapshots",
     "project_behavior",
     "project_comment",
+    "reputation_from_comments",
     "reputation_metrics",
     "top_k",
     "top_k_per_group",

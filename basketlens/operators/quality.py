@@ -73,3 +73,20 @@ def export_key_violations(result: DataFrame, key: Sequence[str]) -> DataFrame:
     return counted.withColumn("null_key", _null_key(key)).where(
         F.col("null_key") | (F.col("row_count") > 1)
     )
+
+
+def export_violations(results: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """``export_key_violations`` of many exports, each a result and its key, by one grouping.
+
+    Columns are ``export``, all key columns (null where an export's key has them not), row_count, null_key.
+    """
+    columns = sorted({(c, result.schema[c].dataType.simpleString()) for result, key in results.values() for c in key})
+    whole = None
+    for export, (result, key) in results.items():
+        parts = [F.col(c) if c in key else F.lit(None).cast(kind).alias(c) for c, kind in columns]
+        part = result.select(F.lit(export).alias("export"), *parts, _null_key(key).alias("null_key"))
+        whole = part if whole is None else whole.unionByName(part)
+    counted = whole.groupBy("export", *[c for c, _ in columns]).agg(
+        F.count(F.lit(1)).alias("row_count"), F.bool_or("null_key").alias("null_key")
+    )
+    return counted.where(F.col("null_key") | (F.col("row_count") > 1))

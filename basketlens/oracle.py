@@ -93,7 +93,7 @@ def _score(text: str, lexicon: Lexicon) -> str:
     if lexicon.whole_words:
         words = rf"regexp_extract_all(lower({text}), '\p{{L}}+')"
     else:
-        longest_first = sorted(lexicon.positive | lexicon.negative, key=lambda w: (-len(w), w))
+        longest_first = sorted(lexicon.words, key=lambda w: (-len(w), w))
         words = f"regexp_extract_all({text}, '{'|'.join(longest_first)}')"
     return (
         f"CAST(len(list_filter({words}, lambda w : w IN {_in(lexicon.positive)}))"

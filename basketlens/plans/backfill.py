@@ -21,6 +21,7 @@ from basketlens.plans.daily import HISTORIES
 from basketlens.plans.export import export_days
 from basketlens.plans.warehouse import Warehouse
 from basketlens.schemas import PARTITION
+from basketlens.sources.tables import unbucketed_scans
 
 
 def _of_days(wh: Warehouse, name: str, days: Sequence[str]) -> DataFrame:
@@ -28,13 +29,17 @@ def _of_days(wh: Warehouse, name: str, days: Sequence[str]) -> DataFrame:
 
 
 def backfill_detail(wh: Warehouse, days: Sequence[str]) -> None:
-    """Clean wide facts of all ``days``."""
+    """Clean wide facts of all ``days``.
+
+    A scan by buckets would give one task a bucket of all days, so bucketed facts are read as plain files here.
+    """
     face = wh.read("ods_user_face_full")
     category = wh.read("ods_category_mapping_full")
     behavior = wide_behavior(_of_days(wh, "user_behavior_inc", days), face, category)
-    wh.replace_days("dwd_user_behavior", behavior, days)
     comment = wide_comment(_of_days(wh, "user_comment_inc", days), face, category)
-    wh.replace_days("dwd_user_comment", comment, days)
+    with unbucketed_scans(wh.spark):
+        wh.replace_days("dwd_user_behavior", behavior, days)
+        wh.replace_days("dwd_user_comment", comment, days)
 
 
 def backfill_metrics(

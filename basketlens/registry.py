@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from uuid import uuid4
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from basketlens import adapters as given_data
@@ -273,7 +273,7 @@ def sink_partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sink_bucketed_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = f"face_{uuid4().hex}"
     path = f"{shared_folder(spark)}/{table}"
-    write_bucketed(_face(spark, sf_dir), table, ["user_id"], 8, path)
+    write_bucketed(_face(spark, sf_dir), table, ["user_id"], path=path)
     return spark.table(table)
 
 
@@ -289,29 +289,30 @@ def sink_replace_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wh.read(table)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """The frame, written to the shared folder and read from there."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 @query
 def dq_export_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the four results that their exports would refuse: events and documents are read once each."""
+    span = Observation()
+    facts = _behavior(spark, sf_dir).observe(span, F.max(PARTITION).alias("last"))
+    faces = _kept(op.face_metrics(op.wide_behavior(facts, _face(spark, sf_dir), _category(spark, sf_dir))))
+    reputation = _kept(dws_goods_reputation_day(spark, sf_dir))
+    last, goods = span.get["last"], op.goods_from_face(faces)
     results = {
-        "ads_goods_pop": ads_goods_pop,
-        "ads_face_favorite": ads_face_favorite,
-        "ads_goods_pv_to_buy": ads_goods_pv_to_buy,
-        "ads_goods_score": ads_goods_score,
+        "ads_goods_pop": op.goods_pop(goods),
+        "ads_face_favorite": op.face_favorite(op.cumulative_history(faces, FACE_KEYS, FACE_COUNTERS, last)),
+        "ads_goods_pv_to_buy": op.goods_pv_to_buy(op.cumulative_history(goods, GOODS_KEYS, GOODS_COUNTERS, last)),
+        "ads_goods_score": op.goods_score(
+            op.cumulative_history(reputation, GOODS_KEYS, REPUTATION_COUNTERS, last)
+        ),
     }
-    found = None
-    for name, build in results.items():
-        export, key = EXPORTS[name]
-        bad = op.export_key_violations(build(spark, sf_dir), key)
-        face = F.col("face") if "face" in key else F.lit(None).cast("string")
-        bad = bad.select(
-            F.lit(export).alias("export"),
-            PARTITION,
-            face.alias("face"),
-            "category_label",
-            "row_count",
-            "null_key",
-        )
-        found = bad if found is None else found.unionByName(bad)
-    return found
+    return op.export_violations({EXPORTS[n][0]: (rows, EXPORTS[n][1]) for n, rows in results.items()})
 
 
 # --- Cleaning and joins -----------------------------------------------------------------------
@@ -374,8 +375,8 @@ def join_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = HotKeySplit(f"facts_{tag}", f"hot_facts_{tag}")
     paths = HotKeySplit(f"{folder}/facts", f"{folder}/hot_facts")
     facts = op.drop_null_keys(op.project_behavior(_behavior(spark, sf_dir)))
-    write_bucketed_facts(facts, tables, "user_id", 8, paths=paths)
-    write_bucketed(_face(spark, sf_dir), f"face_{tag}", ["user_id"], 8, f"{folder}/face")
+    buckets = write_bucketed_facts(facts, tables, "user_id", paths=paths)
+    write_bucketed(_face(spark, sf_dir), f"face_{tag}", ["user_id"], buckets, f"{folder}/face")
     return op.join_bucketed(
         spark.table(tables.bucketed), spark.table(tables.hot), spark.table(f"face_{tag}"), "user_id"
     )
@@ -398,7 +399,8 @@ def dws_goods_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dws_goods_reputation_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.reputation_metrics(_wide_comment(spark, sf_dir), WORDS)
+    dimensions = _face(spark, sf_dir), _category(spark, sf_dir)
+    return op.reputation_from_comments(_comment(spark, sf_dir), *dimensions, WORDS)
 
 
 @query
@@ -413,7 +415,8 @@ def agg_salted_goods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def agg_salted_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.reputation_metrics(_wide_comment(spark, sf_dir), WORDS, SALTS)
+    dimensions = _face(spark, sf_dir), _category(spark, sf_dir)
+    return op.reputation_from_comments(_comment(spark, sf_dir), *dimensions, WORDS, SALTS)
 
 
 # --- History ----------------------------------------------------------------------------------
@@ -450,10 +453,13 @@ def dws_goods_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dws_goods_reputation_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Comments carry no time to read a range of, so all days come from one scan.
     last = _days(spark, sf_dir)[-1]
-    daily = dws_goods_reputation_day(spark, sf_dir)
-    return op.cumulative_history(daily, GOODS_KEYS, REPUTATION_COUNTERS, last)
+    dimensions = _face(spark, sf_dir), _category(spark, sf_dir)
+    comment = _comment(spark, sf_dir)
+    earlier = op.reputation_from_comments(comment.where(F.col(PARTITION) < last), *dimensions, WORDS)
+    before = op.cumulative_history(earlier, GOODS_KEYS, REPUTATION_COUNTERS, day_shift(last, -1))
+    day = op.reputation_from_comments(comment.where(F.col(PARTITION) == last), *dimensions, WORDS)
+    return op.advance_history(before, day, GOODS_KEYS, REPUTATION_COUNTERS, last)
 
 
 @query

@@ -37,7 +37,8 @@ def publish_statements(table: str, load_table: str, columns: list[str], dt: str)
     names = ", ".join(columns)
     return [
         f"DELETE FROM {table} WHERE {PARTITION} = '{check_dt(dt)}'",
-        f"INSERT INTO {table} ({names}) SELECT DISTINCT {names} FROM {load_table}",
+        f"INSERT INTO {table} ({names}) SELECT DISTINCT {names} FROM {load_table}"
+        f" WHERE {PARTITION} = '{dt}'",
     ]
 
 

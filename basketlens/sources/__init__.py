@@ -8,7 +8,7 @@ from basketlens.sources.files import (
     to_comment,
 )
 from basketlens.sources.jdbc import read_jdbc_split, split_predicates
-from basketlens.sources.tables import read_dimension, read_partition, read_result
+from basketlens.sources.tables import read_dimension, read_partition, read_result, unbucketed_scans
 from basketlens.sources.text import field_expressions, read_delimited_text
 
 __all__ = [
@@ -24,4 +24,5 @@ __all__ = [
     "split_predicates",
     "to_behavior",
     "to_comment",
+    "unbucketed_scans",
 ]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,3 +37,20 @@ def read_result(spark: SparkSession, table: str, dt: str) -> DataFrame:
     day = read_partition(spark, table, dt, spec.all_columns)
     ints = [name for name, kind in spec.columns if kind == "int"]
     return day.withColumns({name: F.col(name).cast("bigint") for name in ints})
+
+
+_BUCKETING = "spark.sql.sources.bucketing.enabled"
+
+
+@contextmanager
+def unbucketed_scans(spark: SparkSession) -> Iterator[None]:
+    """Read bucketed tables as plain files in the jobs that run inside.
+
+    A bucket is one task, whatever its size: right for one day, not for many at once.
+    """
+    before = spark.conf.get(_BUCKETING)
+    spark.conf.set(_BUCKETING, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_BUCKETING, before)

@@ -76,7 +76,7 @@ CHINESE_CASES = [
     ("一般", 0, 0),
     ("", 0, 0),
     (None, 0, 0),
-    ("不好", 1, 1),
+    ("不好", 0, 0),
 ]
 
 
@@ -96,10 +96,10 @@ def test_sentiment_chinese(spark):
 def _longest_first(text: str, lexicon: Lexicon) -> int:
     """Score by reading the text from left to right, the longest word at each place."""
     score = at = 0
-    words = sorted(lexicon.positive | lexicon.negative, key=len, reverse=True)
+    words = sorted(lexicon.words, key=len, reverse=True)
     while at < len(text):
         word = next((w for w in words if text.startswith(w, at)), None)
-        score += 0 if word is None else (1 if word in lexicon.positive else -1)
+        score += (word in lexicon.positive) - (word in lexicon.negative)
         at += len(word) if word else 1
     return score
 
@@ -111,6 +111,9 @@ def _longest_first(text: str, lexicon: Lexicon) -> int:
         (CHINESE, "好不错喜欢很多吃难差慢说法返修"),
         (Lexicon(frozenset({"a", "ab", "abcd"}), frozenset({"abc", "b", "abcde"})), "abcdex"),
         (Lexicon(frozenset({"a.b", "+"}), frozenset({"a", "a.b-", "]"})), "a.b-+]"),
+        (CHINESE, "快递愉好久慢来卡片不吃难"),
+        (Lexicon(frozenset({"a", "abcd"}), frozenset({"b", "cd"}), neutral=frozenset({"ab", "bc", "abcde", "c"})), "abcde"),
+        (Lexicon(frozenset(), frozenset({"ab"}), neutral=frozenset({"a", "abc"})), "abc"),
     ],
 )
 def test_unsegmented_equals_left_to_right_reading(spark, lexicon, letters):
@@ -133,6 +136,16 @@ def test_whole_words_equal_tokens(spark):
         assert row.s == expected, row.c
 
 
+def test_neutral_words_score_nothing(spark):
+    cases = {"快递": 0, "愉快": 0, "好久": 0, "慢慢来": 0, "卡片": 0, "不好": 0, "好吃": 1, "难吃": -1, "快": 1, "卡": -1, "快递快": 1, "不好吃": 0, "好久好": 1}
+    rows = spark.createDataFrame(list(cases.items()), "c string, expected int")
+    found = rows.select("*", sentiment_score(F.col("c")).alias("s"), sentiment_label(F.col("c")).alias("l")).collect()
+    assert {r.c: r.s for r in found} == cases
+    assert all(r.l == (r.expected >= 1) for r in found)
+    whole = Lexicon(frozenset({"good"}), frozenset({"bad"}), whole_words=True, neutral=frozenset({"goods"}))
+    assert spark.createDataFrame([("Good goods, bad Goods good",)], "c string").select(sentiment_score(F.col("c"), whole)).first()[0] == 1
+
+
 def test_one_sided_lexicons(spark):
     rows = spark.createDataFrame([("good bad good",)], "c string")
     good = Lexicon(frozenset({"good"}), frozenset(), whole_words=True)
@@ -150,6 +163,10 @@ def test_lexicon_is_checked():
         Lexicon(frozenset({""}), frozenset({"a"}))
     with pytest.raises(ValueError):
         Lexicon(frozenset({"Good"}), frozenset(), whole_words=True)
+    with pytest.raises(ValueError):
+        Lexicon(frozenset({"a"}), frozenset(), neutral=frozenset({"a"}))
+    with pytest.raises(ValueError):
+        Lexicon(frozenset(), frozenset(), neutral=frozenset({"a"}))
 
 
 def test_days(spark):

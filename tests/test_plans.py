@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import re
 from uuid import uuid4
 
 import pytest
 from pyspark.sql import functions as F
 
 from basketlens import adapters
+from basketlens import operators as op
 from basketlens.adapters import WORDS, given, shared_folder
 from basketlens.functions import sentiment_label, wilson_lower
 from basketlens.operators.clean import drop_null_keys
@@ -17,7 +19,7 @@ from basketlens.plans.warehouse import DECLARED_BUCKETS
 from basketlens.registry import QUERIES
 from basketlens.schemas import EXPORTS, TABLES
 from basketlens.sinks import publish
-from basketlens.sources import read_partition
+from basketlens.sources import read_partition, unbucketed_scans
 from tests.compare import rows_of
 from tests.test_operators import plan_of
 from tests.test_publish import jobs
@@ -256,3 +258,64 @@ def test_shared_folder_needs_the_setting_on_a_cluster(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         assert shared_folder(spark).startswith(root)
+
+
+def shuffled(df) -> list[str]:
+    """The columns that each shuffle of a plan carries."""
+    text = df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    nodes = re.split(r"\n\n\(", text)
+    return [re.search(r"Input \[\d+\]: \[(.*)\]", n).group(1) for n in nodes if re.match(r"\d+\) (Broadcast)?Exchange", n)]
+
+
+def test_no_shuffle_carries_a_comment(spark):
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("dws_goods_reputation_day", "agg_salted_reputation", "dws_goods_reputation_full"):
+            carried = shuffled(QUERIES[name](spark, SF))
+            assert len(carried) >= 4 and any("digest" in c for c in carried), name
+            assert not [c for c in carried if re.search(r"\b(text|comment)#", c)], name
+        wide = shuffled(QUERIES["dwd_user_comment"](spark, SF))
+        assert [c for c in wide if "comment#" in c]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_reputation_without_texts_equals_that_of_wide_comments(spark):
+    comment = spark.createDataFrame(
+        [("1", "9", "für with", "d"), ("1", "9", "für with", "d"), ("1", "9", None, "d"), ("1", "9", "", "d"), (None, "9", "with", "d"), ("2", "8", "was", "d"), ("1", "9", "with", "e")],
+        "user_id string, category_id string, comment string, dt string",
+    )
+    # A repeated user and a repeated category multiply their comments.
+    face = spark.createDataFrame([("1", "a"), ("1", "b")], "user_id string, face string")
+    category = spark.createDataFrame([("9", 1, "toy"), ("9", 1, "top")], "category_id string, category_count int, category_label string")
+    plain = op.reputation_metrics(op.wide_comment(comment, face, category), WORDS)
+    lean = op.reputation_from_comments(comment, face, category, WORDS)
+    assert rows_of(plain.columns, plain.collect()) == rows_of(lean.columns, lean.collect())
+
+
+def test_scans_over_many_days_ignore_buckets(spark):
+    wh = loaded(spark, buckets=DECLARED_BUCKETS)
+
+    def distinct_plan():
+        return plan_of(op.dedup_behavior(wh.read("user_behavior_inc").where(F.col("dt").isin(DAYS))))
+
+    assert "Exchange" not in distinct_plan()
+    with unbucketed_scans(spark):
+        assert "Exchange" in distinct_plan()
+    assert spark.conf.get("spark.sql.sources.bucketing.enabled") == "true"
+
+
+def test_export_checks_read_stored_layers(spark):
+    found = QUERIES["dq_export_keys"](spark, SF)
+    assert not [f for f in found.inputFiles() if "events" in f or "documents" in f]
+    assert plan_of(found).count("export#") and found.columns == ["export", "category_label", "dt", "face", "row_count", "null_key"]
+
+
+def test_violations_of_many_exports(spark):
+    one = spark.createDataFrame([("x", 1, "d"), ("x", 2, "d"), (None, 3, "d"), ("y", 4, "d")], "label string, n int, dt string")
+    two = spark.createDataFrame([("f", "x", "d"), ("f", "x", "e"), (None, None, "d"), (None, None, "d")], "face string, label string, dt string")
+    found = op.export_violations({"one": (one, ["dt", "label"]), "two": (two, ["dt", "face", "label"])})
+    assert {tuple(r[c] for c in ("export", "face", "label", "dt", "row_count", "null_key")) for r in found.collect()} == {
+        ("one", None, "x", "d", 2, False), ("one", None, None, "d", 1, True), ("two", None, None, "d", 2, True)
+    }
