@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import stored
+from basketlens.llm.tables import stored, unused
 
 WINDOW = 10
 #: What separates words, after lower-casing A-Z: all of ASCII but digits and letters.
@@ -191,11 +191,16 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def clean(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``documents`` whose text has no phrase of an item, with their columns."""
+    """The rows of ``documents`` whose text has no phrase of an item, with all their columns, whatever the names.
+
+    Null and empty texts have no phrase and stay; repeated rows stay or go together; without items or documents
+    nothing goes.
+    """
     items, asked, postings, texts = _prepared(documents, benchmark, window)
     found = stored(alignments(postings, asked))
     corpus = (
         texts.join(found.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.first("words").alias("words"))
     )
-    bad = phrase_hits(corpus, items, found).select(F.col("digest").alias("_digest")).distinct()
-    return documents.join(bad, digest("text") == F.col("_digest"), "left_anti")
+    name = unused("_digest", documents)
+    bad = phrase_hits(corpus, items, found).select(F.col("digest").alias(name)).distinct()
+    return documents.join(bad, digest("text") == F.col(name), "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketlens.llm.components import components
-from basketlens.llm.tables import stored, tasks
+from basketlens.llm.tables import stored, tasks, unused
 from basketlens.llm.words import Texts, lower_ascii, pieces
 
 SEED = 42
@@ -306,10 +306,16 @@ def near_duplicates(
 
 
 def keep_one(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``documents`` that stand first in their group, by doc_id (nulls last), then by row."""
+    """The rows of ``documents`` that stand first in their group, by doc_id (nulls last), then by row.
+
+    Of repeated rows one stays. Null and empty texts are one group. An empty table stays empty. All columns are
+    kept, whatever their names.
+    """
+    place = unused("_at", documents)
     at = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.monotonically_increasing_id().alias("row"))
     # Written, because the numbers must be the same in both uses.
-    numbered = stored(documents.withColumn("_at", at))
-    groups = near_duplicates(numbered, "_at", text)
-    first = groups.where("doc_id = component_id").select(F.col("doc_id.row").alias("_first"))
-    return numbered.join(first, numbered["_at"]["row"] == first["_first"], "left_semi").drop("_at")
+    numbered = stored(documents.withColumn(place, at))
+    groups = near_duplicates(numbered, place, text)
+    first = groups.where("doc_id = component_id").select(F.col("doc_id.row").alias("row")).alias("first")
+    same = F.col(f"numbered.{place}.row") == F.col("first.row")
+    return numbered.alias("numbered").join(first, same, "left_semi").drop(place)

@@ -24,3 +24,11 @@ def tasks(spark: SparkSession) -> int:
 
 def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, lengthened until no column of the frames has it (Spark's names ignore case)."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from basketlens.llm.memo import Memo
 from basketlens.llm.tables import stored
-from basketlens.llm.words import Texts, pieces
+from basketlens.llm.words import Texts, mix, pieces
 
 #: Labelled rows of each class that training takes at most.
 SAMPLE = 2000
@@ -39,23 +39,67 @@ RATE = 0.05
 THRESHOLD = 0.7
 PIECE = 1 << 22
 REMEMBERED = 400_000
-#: Longer words are not remembered; n-grams of a word that are made at once start in so many letters.
+#: Longer words are not remembered; the n-grams of a part of a word begin in so many letters.
 LONGEST = 64
 LETTERS = 1 << 12
-
-
-def gram_blocks(word: str) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of a word, and of the word; of a very long one in bounded parts."""
-    core = f"<{word.strip('.,;:!?|()[]\"').lower()}>"
-    yield np.array([zlib.crc32(core.encode()) % BUCKETS], dtype=np.int32)
-    for low in range(0, len(core), LETTERS):
-        high = min(len(core), low + LETTERS)
-        parts = [core[i : i + n] for n in GRAMS for i in range(low, min(high, len(core) - n + 1))]
-        yield np.array([zlib.crc32(p.encode()) % BUCKETS for p in parts], dtype=np.int32)
-
-
-def grams(word: str) -> np.ndarray:
-    return np.concatenate(list(gram_blocks(word)))
+#: Letters whose n-grams are made at once, but for a longer word.
+AT_ONCE = 1 << 17
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _core(word: str) -> str:
+    """A word in small letters, without the punctuation around it and with marks for its ends."""
+    return f"<{word.strip('.,;:!?|()[]\"').lower()}>"
+
+
+def _segments(core: str) -> list[str]:
+    """A very long word in parts that overlap by all but one letter of a gram."""
+    if len(core) <= LETTERS:
+        return [core]
+    return [core[low : low + LETTERS + max(GRAMS) - 1] for low in range(0, len(core), LETTERS)]
+
+
+def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of some words and of the words themselves, and for each the place of its word."""
+    whole = [_core(w) for w in words]
+    parts = [_segments(core) for core in whole]
+    cores = [core for part in parts for core in part]
+    word_of = np.repeat(np.arange(len(words)), [len(part) for part in parts])
+    letters = np.frombuffer("".join(cores).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    mixed = mix(letters.astype(np.uint64) + np.uint64(1 << 32))
+    lengths = np.array([len(core) for core in cores], dtype=np.int64)
+    starts = np.cumsum(lengths) - lengths
+    of_letter = np.repeat(np.arange(len(cores)), lengths)
+    at = np.arange(len(letters)) - starts[of_letter]
+    left = lengths[of_letter] - at
+    # Of a part of a long word the last letters begin no gram: the next part has them again.
+    begins = at < LETTERS
+    buckets = [np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in whole], dtype=np.int64)]
+    places = [np.arange(len(words))]
+    h = mixed
+    for n in range(2, max(GRAMS) + 1):
+        h = h[: len(letters) - n + 1] * _BASE + mixed[n - 1 :] if len(letters) >= n else h[:0]
+        if n in GRAMS:
+            ok = np.flatnonzero((left[: len(h)] >= n) & begins[: len(h)])
+            buckets.append((mix(h[ok]) % np.uint64(BUCKETS)).astype(np.int64))
+            places.append(word_of[of_letter[ok]])
+    return np.concatenate(buckets), np.concatenate(places)
+
+
+def word_values(words: list[str], value: np.ndarray) -> np.ndarray:
+    """The mean value of each word's bag."""
+    out = np.zeros(len(words))
+    low = 0
+    while low < len(words):
+        # Some words at once, one at least.
+        high, size = low, 0
+        while high < len(words) and (high == low or size + len(words[high]) <= AT_ONCE):
+            size += len(words[high])
+            high += 1
+        bucket, place = bags(words[low:high])
+        out[low:high] = np.bincount(place, value[bucket], high - low) / np.bincount(place, minlength=high - low)
+        low = high
+    return out
 
 
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,22 +133,22 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     start, end, doc = map(np.concatenate, (first, last, doc))
     size = np.maximum(end - start, 1)
     of_doc = np.searchsorted(doc, np.arange(len(texts)))
-    bags = [grams(w.decode()) for w in known]
-    in_bag = np.array([len(b) for b in bags])
-    gram, word_of = np.concatenate(bags), np.repeat(np.arange(len(bags)), in_bag)
+    gram, word_of = bags([w.decode() for w in known])
+    in_bag = np.bincount(word_of, minlength=len(known))
     code = np.array(codes)
 
     # Both classes weigh the same, however many rows there are of each.
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     rng = np.random.default_rng(7)
-    vectors = rng.normal(0, 0.1, (BUCKETS, WIDTH))
+    # Small, so that n-grams that were never seen say next to nothing.
+    vectors = rng.normal(0, 0.01, (BUCKETS, WIDTH))
     softmax = rng.normal(0, 0.5, (2, WIDTH))
     bias = np.zeros(2)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (vectors, softmax, bias)]
     for step in range(1, ROUNDS + 1):
         u = softmax[1] - softmax[0]
         value = vectors @ u
-        word = np.bincount(word_of, value[gram], len(bags)) / in_bag
+        word = np.bincount(word_of, value[gram], len(known)) / in_bag
         sums = np.concatenate(([0.0], np.cumsum(word[code])))
         logit = (sums[end] - sums[start]) / size
         top = np.maximum.reduceat(logit, of_doc)
@@ -115,7 +159,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
         # Back: text, window, word, n-gram, vector.
         at_window = slope[doc] * share / size
         edge = np.bincount(start, at_window, len(code) + 1) - np.bincount(end, at_window, len(code) + 1)
-        at_word = np.bincount(code, np.cumsum(edge)[:-1], len(bags)) / in_bag
+        at_word = np.bincount(code, np.cumsum(edge)[:-1], len(known)) / in_bag
         at_gram = np.bincount(gram, at_word[word_of], BUCKETS)
         pull = at_gram @ vectors
         gradients = (np.outer(at_gram, u), np.array([-pull, pull]), np.array([-slope.sum(), slope.sum()]))
@@ -133,23 +177,22 @@ class Scorer:
     def __init__(self, value: np.ndarray, bias: float):
         self.value, self.bias, self.memo = value, bias, Memo(REMEMBERED)
 
-    def word(self, word: str) -> float:
-        score = self.memo.get(word)
-        if score is None:
-            if len(word) <= LONGEST:
-                score = float(self.value[grams(word)].mean())
-                self.memo.put(word, score)
-            else:
-                sums = [(self.value[block].sum(dtype=np.float64), len(block)) for block in gram_blocks(word)]
-                score = float(sum(x for x, _ in sums) / sum(n for _, n in sums))
-        return score
+    def words(self, words: list[str]) -> np.ndarray:
+        """The value of each word."""
+        known = [self.memo.get(w) for w in words]
+        new = [i for i, x in enumerate(known) if x is None]
+        for i, x in zip(new, word_values([words[i] for i in new], self.value).tolist(), strict=True):
+            known[i] = x
+            if len(words[i]) <= LONGEST:
+                self.memo.put(words[i], x)
+        return np.array(known, dtype=np.float64)
 
     def scores(self, texts: Texts) -> np.ndarray:
         edges = np.empty(2 * len(texts.starts) + 1, dtype=np.int64)
         edges[0:-1:2], edges[1::2], edges[-1] = texts.starts, texts.ends, len(texts.data)
         column = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges), pa.py_buffer(texts.data))
         coded = column.take(pa.array(np.arange(0, len(edges) - 1, 2))).dictionary_encode()
-        values = np.array([self.word(w) for w in coded.dictionary.to_pylist()], dtype=np.float64)
+        values = self.words(coded.dictionary.to_pylist())
         sums = np.concatenate(([0.0], np.cumsum(values[coded.indices.to_numpy()] if len(values) else [])))
         out = np.zeros(len(texts))
         for i, (low, high) in enumerate(zip(texts.of_text[:-1], texts.of_text[1:], strict=True)):
