@@ -15,6 +15,7 @@ weights is ever needed. Texts are scored where they are read; there is no shuffl
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ LONGEST = 64
 LETTERS = 1 << 12
 #: Letters whose n-grams are made at once, but for a longer word.
 AT_ONCE = 1 << 17
+#: Buckets that a step of training has in hand at once.
+BAGS_AT_ONCE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,22 +89,65 @@ def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(places)
 
 
-def word_values(words: list[str], value: np.ndarray) -> np.ndarray:
-    """The mean value of each word's bag."""
-    out = np.zeros(len(words))
+def _some(words: list[str]) -> Iterator[tuple[int, int]]:
+    """The words in ranges of about ``AT_ONCE`` letters, one word at least."""
     low = 0
     while low < len(words):
-        # Some words at once, one at least.
         high, size = low, 0
         while high < len(words) and (high == low or size + len(words[high]) <= AT_ONCE):
             size += len(words[high])
             high += 1
+        yield low, high
+        low = high
+
+
+def word_values(words: list[str], value: np.ndarray) -> np.ndarray:
+    """The mean value of each word's bag."""
+    out = np.zeros(len(words))
+    for low, high in _some(words):
         bucket, place = bags(words[low:high])
         out[low:high] = np.bincount(place, value[bucket], high - low) / np.bincount(place, minlength=high - low)
-        low = high
     return out
 
 
+class Bags:
+    """The bags of all words of the sample, for training; work on them takes ``BAGS_AT_ONCE`` buckets at a time."""
+
+    def __init__(self, words: list[str]):
+        parts, sizes = [], []
+        for low, high in _some(words):
+            bucket, place = bags(words[low:high])
+            parts.append(bucket[place.argsort(kind="stable")].astype(np.int32))
+            sizes.append(np.bincount(place, minlength=high - low))
+        self.bucket, self.size = np.concatenate(parts), np.concatenate(sizes)
+        ends = np.cumsum(self.size)
+        cuts = np.searchsorted(ends, np.arange(BAGS_AT_ONCE, ends[-1] + BAGS_AT_ONCE, BAGS_AT_ONCE)) + 1
+        edges = np.unique(np.clip(np.concatenate(([0], cuts)), 0, len(words))).tolist()
+        self.ranges = list(zip(edges, edges[1:], strict=False))
+        self.starts = ends - self.size
+
+    def _part(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        first = self.starts[low]
+        return self.bucket[first : self.starts[high - 1] + self.size[high - 1]], self.starts[low:high] - first
+
+    def means(self, value: np.ndarray) -> np.ndarray:
+        """The mean value of each word's bag."""
+        parts = []
+        for low, high in self.ranges:
+            bucket, starts = self._part(low, high)
+            parts.append(np.add.reduceat(value[bucket], starts))
+        return np.concatenate(parts) / self.size
+
+    def spread(self, at_word: np.ndarray) -> np.ndarray:
+        """What each bucket gets if each word's number goes to its bag in equal parts."""
+        out = np.zeros(BUCKETS)
+        share = at_word / self.size
+        for low, high in self.ranges:
+            bucket, _ = self._part(low, high)
+            out += np.bincount(bucket, np.repeat(share[low:high], self.size[low:high]), BUCKETS)
+        return out
+
+
 def windows(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the windows of n words; a shorter text is one."""
     starts = np.arange(max(1, n - WINDOW + 1))
@@ -117,24 +163,23 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     if len(set(labels)) < 2:
         return np.zeros(BUCKETS, dtype=np.float32), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     known: dict[bytes, int] = {}
-    codes: list[int] = []
+    codes = array("i")
     first, last, doc = [], [], []
     for i, text in enumerate(texts):
         words = [known.setdefault(w, len(known)) for w in text.encode().split()]
         s, e = windows(len(words))
         # Windows half a window apart, and the last one, so that every word is in one.
         some = np.unique(np.append(np.arange(0, len(s), max(1, WINDOW // 2)), len(s) - 1))
-        first.append(s[some] + len(codes))
-        last.append(e[some] + len(codes))
-        doc.append(np.full(len(first[-1]), i))
-        codes += words
+        first.append((s[some] + len(codes)).astype(np.int32))
+        last.append((e[some] + len(codes)).astype(np.int32))
+        doc.append(np.full(len(first[-1]), i, dtype=np.int32))
+        codes.extend(words)
     if not known:
         return np.zeros(BUCKETS, dtype=np.float32), 0.0
     start, end, doc = map(np.concatenate, (first, last, doc))
     size = np.maximum(end - start, 1)
     of_doc = np.searchsorted(doc, np.arange(len(texts)))
-    gram, word_of = bags([w.decode() for w in known])
-    in_bag = np.bincount(word_of, minlength=len(known))
+    bag = Bags([w.decode() for w in known])
     code = np.array(codes)
 
     # Both classes weigh the same, however many rows there are of each.
@@ -148,7 +193,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
     for step in range(1, ROUNDS + 1):
         u = softmax[1] - softmax[0]
         value = vectors @ u
-        word = np.bincount(word_of, value[gram], len(known)) / in_bag
+        word = bag.means(value)
         sums = np.concatenate(([0.0], np.cumsum(word[code])))
         logit = (sums[end] - sums[start]) / size
         top = np.maximum.reduceat(logit, of_doc)
@@ -159,8 +204,7 @@ def train(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
         # Back: text, window, word, n-gram, vector.
         at_window = slope[doc] * share / size
         edge = np.bincount(start, at_window, len(code) + 1) - np.bincount(end, at_window, len(code) + 1)
-        at_word = np.bincount(code, np.cumsum(edge)[:-1], len(known)) / in_bag
-        at_gram = np.bincount(gram, at_word[word_of], BUCKETS)
+        at_gram = bag.spread(np.bincount(code, np.cumsum(edge)[:-1], len(known)))
         pull = at_gram @ vectors
         gradients = (np.outer(at_gram, u), np.array([-pull, pull]), np.array([-slope.sum(), slope.sum()]))
         for x, g, m in zip((vectors, softmax, bias), gradients, moments, strict=True):
