@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from basketlens.adapters import shared_folder
@@ -17,6 +19,18 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``stored``, for operators of many steps: what the steps before have shuffled is let go.
+
+    No later step needs these files, as it reads the stored table. Spark deletes them when the driver collects the
+    plans they belong to, which a driver with a large heap does not do for hours; so it is asked to.
+    """
+    out = stored(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def tasks(spark: SparkSession) -> int:
     """Partitions for work that adaptive execution must not shrink."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
