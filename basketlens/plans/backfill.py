@@ -1,5 +1,7 @@
 """Many run days in one job per table, with the same result as running them one by one.
 
+Tables that do not need each other are filled at the same time.
+
 What the tables hold of these days is replaced, also by nothing; what they hold of others is kept, and
 histories continue it.
 """
@@ -7,6 +9,7 @@ histories continue it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,7 @@ from basketlens.operators.metrics import face_metrics, goods_from_face, reputati
 from basketlens.operators.rank import face_favorite, goods_pop, goods_pv_to_buy, goods_score
 from basketlens.plans.daily import HISTORIES
 from basketlens.plans.export import export_days
+from basketlens.plans.together import together
 from basketlens.plans.warehouse import Warehouse
 from basketlens.schemas import PARTITION
 from basketlens.sources.tables import unbucketed_scans
@@ -38,28 +42,40 @@ def backfill_detail(wh: Warehouse, days: Sequence[str]) -> None:
     behavior = wide_behavior(_of_days(wh, "user_behavior_inc", days), face, category)
     comment = wide_comment(_of_days(wh, "user_comment_inc", days), face, category)
     with unbucketed_scans(wh.spark):
-        wh.replace_days("dwd_user_behavior", behavior, days)
-        wh.replace_days("dwd_user_comment", comment, days)
+        together(
+            wh.spark,
+            lambda: wh.replace_days("dwd_user_behavior", behavior, days),
+            lambda: wh.replace_days("dwd_user_comment", comment, days),
+        )
 
 
 def backfill_metrics(
     wh: Warehouse, days: Sequence[str], lexicon: Lexicon = CHINESE, salts: int = 0
 ) -> None:
     """Daily aggregates of all ``days``."""
-    faces = face_metrics(_of_days(wh, "dwd_user_behavior", days), salts)
-    wh.replace_days("dws_face_day", faces, days)
-    goods = goods_from_face(_of_days(wh, "dws_face_day", days))
-    wh.replace_days("dws_goods_day", goods, days)
-    reputation = reputation_metrics(_of_days(wh, "dwd_user_comment", days), lexicon, salts)
-    wh.replace_days("dws_goods_reputation_day", reputation, days)
+
+    def behavior() -> None:
+        faces = face_metrics(_of_days(wh, "dwd_user_behavior", days), salts)
+        wh.replace_days("dws_face_day", faces, days)
+        goods = goods_from_face(_of_days(wh, "dws_face_day", days))
+        wh.replace_days("dws_goods_day", goods, days)
+
+    def comment() -> None:
+        reputation = reputation_metrics(_of_days(wh, "dwd_user_comment", days), lexicon, salts)
+        wh.replace_days("dws_goods_reputation_day", reputation, days)
+
+    together(wh.spark, behavior, comment)
 
 
 def backfill_history(wh: Warehouse, days: Sequence[str], on_gap: str = "reset") -> None:
     """Snapshots of all ``days``, continuing the stored ones of other days."""
-    for daily, full, keys, counters in HISTORIES:
+
+    def snapshots(daily: str, full: str, keys: Sequence[str], counters: Sequence[str]) -> None:
         rows = _of_days(wh, daily, days)
-        snapshots = history_snapshots(rows, keys, counters, days, on_gap, wh.read(full), wh.days(full))
-        wh.replace_days(full, snapshots, days)
+        of_days = history_snapshots(rows, keys, counters, days, on_gap, wh.read(full), wh.days(full))
+        wh.replace_days(full, of_days, days)
+
+    together(wh.spark, *[partial(snapshots, *history) for history in HISTORIES])
 
 
 def start_history(wh: Warehouse, dt: str) -> None:
@@ -76,8 +92,7 @@ def backfill_results(wh: Warehouse, days: Sequence[str]) -> None:
         "ads_goods_pv_to_buy": goods_pv_to_buy(_of_days(wh, "dws_goods_full", days)),
         "ads_goods_score": goods_score(_of_days(wh, "dws_goods_reputation_full", days)),
     }
-    for name, rows in results.items():
-        wh.replace_days(name, rows, days)
+    together(wh.spark, *[partial(wh.replace_days, name, rows, days) for name, rows in results.items()])
 
 
 def backfill(
