@@ -5,6 +5,9 @@ depends on the window's words only. Consecutive windows with one minimiser trave
 super-k-mer) to the minimiser's bucket; there the windows are sorted by a hash and counted exactly,
 with equal hashes compared by their bytes.
 
+A window that is repeated has a minimiser that stands more than once in the corpus. So the minimisers, a number each,
+are counted first, and only the super-k-mers of those that stand more than once are cut and travel.
+
 Equal super-k-mers are one row with a count before they travel, so copies cost nothing. A minimiser that
 is in more different super-k-mers than a task's share (a short common passage in many contexts) is split:
 its super-k-mers become single windows, dealt by a hash of the window. What is repeated goes back to the
@@ -19,10 +22,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketlens.llm.tables import stored, tasks
+from basketlens.llm.tables import settled, stored, tasks
 from basketlens.llm.words import Texts, mix, pieces
 
 WINDOW = 35
@@ -63,23 +66,55 @@ def _packed(texts: Texts, i: int, at: int, n: int) -> bytes:
     return b" ".join(texts.data[texts.starts[low] : texts.ends[low + n - 1]].tobytes().split())
 
 
-def _cut(window: int, run: int, whole: bool):
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each text: key, packed (whole), or text digest, first window, digest of the super-k-mer."""
+def _places(window: int, run: int):
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """owner (text digest), key, first, n, times of each super-k-mer; times is how often its run stands in it, two at most."""
         for batch in batches:
             for texts in pieces(batch["text"]):
                 hashes = texts.hashes()
-                keys, packed, owners, firsts = [], [], [], []
+                owners, keys, firsts, sizes, times = [], [], [], [], []
                 for i in range(len(texts)):
-                    owner = None if whole else hashlib.md5(texts.text(i)).digest()
-                    for key, at, n in super_kmers(hashes[texts.of_text[i] : texts.of_text[i + 1]], window, run):
-                        string = _packed(texts, i, at, n + window - 1)
+                    words = hashes[texts.of_text[i] : texts.of_text[i + 1]]
+                    if len(words) < window:
+                        continue
+                    owner = hashlib.md5(texts.text(i)).digest()
+                    runs = run_hashes(words, run)
+                    for key, at, n in super_kmers(words, window, run):
+                        owners.append(owner)
                         keys.append(key)
+                        firsts.append(at)
+                        sizes.append(n)
+                        times.append(min(2, np.count_nonzero(runs[at : at + n + window - run] == key)))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "owner": pa.array(owners, pa.binary()),
+                        "key": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
+                        "first": pa.array(firsts, pa.int64()),
+                        "n": pa.array(sizes, pa.int64()),
+                        "times": pa.array(times, pa.int64()),
+                    }
+                )
+
+    return places
+
+
+def _cut(window: int, whole: bool):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the spans of each text: key, packed (whole), or text digest, first window, digest of the super-k-mer."""
+        for batch in batches:
+            spans, digests = batch["spans"].to_pylist(), batch["owner"].to_pylist()
+            for texts in pieces(batch["text"]):
+                keys, packed, owners, firsts = [], [], [], []
+                for i in range(len(texts)):
+                    owner = digests[texts.first + i]
+                    for span in spans[texts.first + i]:
+                        string = _packed(texts, i, span["first"], span["n"] + window - 1)
+                        keys.append(span["key"])
                         packed.append(string if whole else hashlib.md5(string).digest())
                         owners.append(owner)
-                        firsts.append(at)
+                        firsts.append(span["first"])
                 if whole:
-                    columns = {"key": pa.array(np.array(keys, dtype=np.uint64).view(np.int64)), "packed": pa.array(packed, pa.binary())}
+                    columns = {"key": pa.array(keys, pa.int64()), "packed": pa.array(packed, pa.binary())}
                 else:
                     columns = {"owner": pa.array(owners, pa.binary()), "first": pa.array(firsts, pa.int64()), "digest": pa.array(packed, pa.binary())}
                 yield pa.RecordBatch.from_pydict(columns)
@@ -171,11 +206,32 @@ def _count(window: int, most: int = 20_000):
     return count
 
 
-def repeats(texts: DataFrame, window: int = WINDOW, run: int = RUN, few: int = FEW) -> DataFrame:
-    """digest, places: the super-k-mers with repeated windows. ``texts`` has column text."""
-    spark = texts.sparkSession
-    each = texts.select("text").mapInArrow(_cut(window, run, True), "key long, packed binary")
-    distinct = stored(each.groupBy("key", "packed").agg(F.count("*").alias("n"))).withColumn("digest", F.unhex(F.md5("packed")))
+def digest_of(text: str = "text") -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def candidates(texts: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
+    """owner, text, spans: the texts with super-k-mers whose minimiser stands more than once, and these (key, first, n).
+
+    Repeated texts stay rows of their own. ``texts`` has column text.
+    """
+    each = settled(texts.select("text").mapInArrow(_places(window, run), "owner binary, key long, first long, n long, times long"))
+    often = settled(each.groupBy("key").agg(F.sum("times").alias("times")).where("times > 1").select("key"))
+    spans = (
+        each.join(often, "key", "left_semi")
+        .select("owner", "key", "first", "n")
+        .distinct()
+        .groupBy("owner")
+        .agg(F.collect_list(F.struct("key", "first", "n")).alias("spans"))
+    )
+    return texts.select(digest_of().alias("owner"), "text").join(settled(spans), "owner")
+
+
+def repeats(found: DataFrame, window: int = WINDOW, few: int = FEW) -> DataFrame:
+    """digest, places: the super-k-mers with repeated windows. ``found`` is that of ``candidates``."""
+    spark = found.sparkSession
+    each = found.mapInArrow(_cut(window, True), "key long, packed binary")
+    distinct = settled(each.groupBy("key", "packed").agg(F.count("*").alias("n"))).withColumn("digest", F.unhex(F.md5("packed")))
     sizes = stored(distinct.groupBy("key").count().where(F.col("count") > few))
     total = distinct.count()
     # At most SHARE * tasks keys, however large the corpus.
@@ -188,13 +244,12 @@ def repeats(texts: DataFrame, window: int = WINDOW, run: int = RUN, few: int = F
         single = distinct.join(hot, "key", "left_semi").select("key", "packed", "n", "digest")
         split = single.mapInArrow(_single(window), "key long, packed binary, n long, digest binary, offset long")
         rows = cold.select("key", "packed", "n", "digest", "offset").union(split)
-    found = (
+    return (
         rows.select("key", "packed", "n", "digest", "offset")
         .repartition(tasks(spark), "key")
         .sortWithinPartitions("key")
         .mapInArrow(_count(window), "digest binary, places array<long>")
     )
-    return found
 
 
 def _finish(window: int):
@@ -229,8 +284,9 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, run: int = RUN, f
     words, like an empty one, and texts shorter than a window lose nothing. Repeated or null ids stay rows of their own. Other columns
     are not read.
     """
-    found = stored(repeats(documents, window, run, few))
-    owners = documents.select("text").mapInArrow(_cut(window, run, False), "owner binary, first long, digest binary").distinct()
+    candidate = settled(candidates(documents, window, run))
+    found = settled(repeats(candidate, window, few))
+    owners = candidate.mapInArrow(_cut(window, False), "owner binary, first long, digest binary").distinct()
     # A split super-k-mer has several rows.
     windows = (
         owners.join(found, "digest")
@@ -238,7 +294,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, run: int = RUN, f
         .groupBy("owner")
         .agg(F.flatten(F.collect_list("at")).alias("windows"))
     )
-    rows = documents.select("doc_id", "text", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("owner"))
+    rows = documents.select("doc_id", "text", digest_of().alias("owner"))
     frame = rows.join(windows, "owner", "left").select("doc_id", "text", "windows")
     kind = frame.schema["doc_id"].dataType.simpleString()
     return frame.mapInArrow(_finish(window), f"doc_id {kind}, n_words long, n_removed long, kept string")
